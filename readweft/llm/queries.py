@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op2_urls, op4_quality, op6_bpe
+from . import op2_urls, op4_quality, op6_bpe, op7_near_dedup
 
 QUERIES = {
     "op2_url_filter": op2_urls.op2_url_filter,
     "op4_quality_rules": op4_quality.op4_quality_rules,
     "op6_bpe": op6_bpe.op6_bpe,
+    "op7_minhash_near_dedup": op7_near_dedup.op7_minhash_near_dedup,
 }
 SQL = {"op2_url_filter": op2_urls.SQL}
