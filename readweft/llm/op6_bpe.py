@@ -27,8 +27,8 @@ from .common import table
 
 #: White space of the pre-tokenizer (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Entries that the caches of a Python worker may hold before they are emptied.
-CACHE = 250_000
+#: Words that a Python worker keeps the ids of before it starts anew.
+CACHE = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,7 +51,13 @@ class Automaton:
         self.arcs: dict[bytes, int] = {bytes([b]): t for b, t in base.items()}
         for when, merge in enumerate(merges, 1):
             self._gadget(when, *merge)
-        self.longest = max(map(len, self.arcs), default=1)
+        self.lengths = [len(x) for x in labels]
+        self.reach: dict[bytes, int] = {}  # the longest arc by its first four bytes, or by all it has
+        for x in self.arcs:
+            for k in range(1, min(len(x), 4) + 1):
+                longest = min(len(x), 4) if k < 4 else len(x)
+                if longest > self.reach.get(x[:k], 0):
+                    self.reach[x[:k]] = longest
         self._known: dict[int, bool] = {}
 
     def _gadget(self, when: int, u: int, v: int, w: int) -> None:
@@ -78,28 +84,46 @@ class Automaton:
         key = state * self.n + arc
         known = self._known.get(key)
         if known is None:
-            if len(self._known) > 4 * CACHE:
+            if len(self._known) > 2 * CACHE:
                 self._known.clear()
             known = self._known[key] = self.has(state, arc, len(self.taken))
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        """The arcs of the only accepted path that spells the word, left to right in time linear in its length."""
-        if (whole := self.arcs.get(word)) is not None:
+        """The arcs of the only accepted path that spells the word.
+
+        Goes on from the last state along the longest arc that the rest of the word spells and the state has, and back
+        where there is none. Each prefix of a word has one path, so that an end that failed fails for good and every
+        end is left at most once.
+        """
+        arcs, n = self.arcs, len(word)
+        if (whole := arcs.get(word)) is not None:
             return [whole]
-        n, arcs, longest = len(word), self.arcs, self.longest
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                arc = arcs.get(word[start:end])
-                if arc is not None and (start == 0 or self.step(last[start], arc)):
-                    last[end] = arc
-                    break
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(self.labels[last[at]])
-        return out[::-1]
+        known, width, lengths, reach = self._known, self.n, self.lengths, self.reach
+        path: list[int] = []
+        dead = bytearray(n + 1)
+        at, last = 0, -1
+        stop = min(n, at + (reach.get(word[:4]) or 3))
+        while at < n:
+            while stop > at:
+                arc = arcs.get(word[at:stop])
+                if arc is not None and not dead[stop]:
+                    if last < 0:
+                        break
+                    has = known.get(last * width + arc)
+                    if has or has is None and self.step(last, arc):
+                        break
+                stop -= 1
+            if stop > at:
+                path.append(arc)
+                last, at = arc, stop
+                stop = min(n, at + (reach.get(word[at : at + 4]) or 3))
+            else:
+                dead[at] = 1
+                stop = at - 1
+                at -= lengths[path.pop()]
+                last = path[-1] if path else -1
+        return path
 
 
 def _class(major: str) -> str:
@@ -147,31 +171,23 @@ class Tokenizer:
         self.words = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACE}{letters}{numbers}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
         ).findall
-        self.of_word: dict[str, bytes] = {}
         outer = self
 
         class Runs(dict):
             def __missing__(self, run: str) -> bytes:
-                if len(self) > CACHE:
-                    self.clear()
-                got = b"".join(map(outer._word, outer.words(run)))
-                if len(run) < 200:
+                if run.isalpha() or run[0] == " " and run[1:].isalpha() or len(words := outer.words(run)) == 1:
+                    got = b"".join(map(four, encode(run.encode("utf-8", "replace"))))
+                else:
+                    got = b"".join(map(self.__getitem__, words))
+                if len(run) < 100:
+                    if len(self) > CACHE:
+                        self.clear()
                     self[run] = got
                 return got
 
+        four, encode = [struct.pack("<I", k) for k in range(n)].__getitem__, self.automaton.encode
         self.of_run = Runs()
 
-    def _word(self, word: str) -> bytes:
-        got = self.of_word.get(word)
-        if got is None:
-            ids = self.automaton.encode(word.encode("utf-8", "replace"))
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) < 200:
-                if len(self.of_word) > CACHE:
-                    self.of_word.clear()
-                self.of_word[word] = got
-        return got
-
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         of_run = self.of_run.__getitem__
