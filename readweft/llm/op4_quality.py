@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, table
+from .common import WHITE, small_batches, table
 
 #: Columns of stats(), in this order.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
@@ -241,6 +241,7 @@ def _with_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Forest | None:
     """The forest of the labelled rows among docs; None without a good one. At most limit rows of ten numbers reach the driver."""
+    small_batches(docs.sparkSession)
     rows = labelled(docs, labels, limit).mapInArrow(_with_stats, "doc_id long, quality int, s array<long>").orderBy("doc_id", "s").limit(2 * limit).collect()
     if not rows:
         return None
@@ -269,6 +270,7 @@ def judged(docs: DataFrame, forest: Forest | None) -> DataFrame:
                 [b.column("doc_id"), *(pa.array(s[:, k]) for k in range(5)), pa.array(failed), pa.array(keep)], ["doc_id", *STATS[:5], "base_failed", "kept"]
             )
 
+    small_batches(docs.sparkSession)
     kinds = ", ".join(f"{x} long" for x in STATS[:5])
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {kinds}, base_failed boolean, kept boolean")
 
@@ -280,6 +282,7 @@ def kept(docs: DataFrame, forest: Forest | None, text: str = "text") -> DataFram
         for b in batches:
             yield b.filter(pa.array(verdicts(stats(b.column(text)), forest)[1]))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

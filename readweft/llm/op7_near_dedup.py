@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, shuffle_partitions, table, work_folder, written
+from .common import components, shuffle_partitions, small_batches, table, work_folder, written
 from .op4_quality import slices, words_of
 
 WORDS = 5
@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a doc_id count as one node. A null doc_id is linked by equal sets only.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = work_folder(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_sign, _SIGNED), folder, "signed")
