@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_mixing, op2_urls, op4_quality, op6_bpe, op7_near_dedup, op9_line_dedup, op10_pii
+from . import op1_mixing, op2_urls, op3_neighbours, op4_quality, op6_bpe, op7_near_dedup, op9_line_dedup, op10_pii
 
 QUERIES = {
     "op1_mixing": op1_mixing.op1_mixing,
     "op2_url_filter": op2_urls.op2_url_filter,
+    "op3_nearest_neighbours": op3_neighbours.op3_nearest_neighbours,
     "op4_quality_rules": op4_quality.op4_quality_rules,
     "op6_bpe": op6_bpe.op6_bpe,
     "op7_minhash_near_dedup": op7_near_dedup.op7_minhash_near_dedup,
