@@ -1,4 +1,4 @@
-"""MinHash near-dedup: b-bit signatures, band candidates, links confirmed on the full shingle sets, components."""
+"""MinHash near-dedup: band candidates, estimates from b-bit signatures, links confirmed on the full shingle sets, components."""
 
 from __future__ import annotations
 
@@ -21,17 +21,17 @@ PERCENT = 75
 #: 32 bands of 4 minima: a pair at a similarity of 0.75 is missed by all bands with a probability of 5e-6.
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-#: Bits kept of each minimum.
-BITS = 2
-#: Candidates whose corrected estimate is this far below the bound are dropped: 4.5 standard errors (0.046 each).
-MARGIN = 0.21
+#: Signatures, of texts that share a band only: so many minima, of which BITS low bits are kept.
+SIGNED, BITS = 1024, 2
+#: Candidates whose corrected estimate is this far below the bound are dropped: 4.6 standard errors (0.0163 each).
+MARGIN = 0.075
 #: Members whose sets are compared in one task with one copy of the group's text.
 PER_TASK = 256
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(20240229)
-_XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, HASHES + SIGNED, dtype=np.uint32)
+_MUL = _rng.integers(0, 1 << 31, HASHES + SIGNED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,19 +72,19 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
     return offsets, np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
 
-def minima(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A row of HASHES minima for each set; sets must not be empty."""
-    x, out = (hashes >> np.uint64(32)).astype(np.uint32), np.empty((HASHES, len(offsets) - 1), np.uint32)
+def minima(offsets: np.ndarray, hashes: np.ndarray, first: int = 0, count: int = HASHES) -> np.ndarray:
+    """A row of minima under count hash functions, from number first on, for each set; sets must not be empty."""
+    x, out = (hashes >> np.uint64(32)).astype(np.uint32), np.empty((count, len(offsets) - 1), np.uint32)
     v = np.empty_like(x)
-    for k in range(HASHES):
-        np.bitwise_xor(x, _XOR[k], out=v)
-        np.multiply(v, _MUL[k], out=v)
+    for k in range(count):
+        np.bitwise_xor(x, _XOR[first + k], out=v)
+        np.multiply(v, _MUL[first + k], out=v)
         out[k] = np.minimum.reduceat(v, offsets[:-1])
     return out.T
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """The BITS low bits of (mixed) minima as bit planes: HASHES / 64 int64 a plane."""
+    """The BITS low bits of (mixed) minima as bit planes: SIGNED / 64 int64 a plane."""
     low = low ^ (low >> np.uint32(16))
     planes = [np.packbits(np.ascontiguousarray((low >> np.uint32(b)) & np.uint32(1)).astype(np.uint8), axis=1).view("<i8") for b in range(BITS)]
     return np.concatenate(planes, 1)
@@ -98,36 +98,43 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGS = [f"s{k}" for k in range(BITS * HASHES // 64)]
-_SIGNED = "doc_id long, n long, digest binary, " + ", ".join(f"{s} long" for s in _SIGS) + ", bands array<long>"
+_SIGS = [f"s{k}" for k in range(BITS * SIGNED // 64)]
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, ids = b.column("text"), b.column("doc_id")
         for i, j in slices(texts):
             offsets, hashes = shingle_sets(texts.slice(i, j - i))
             n = np.diff(offsets)
-            full = np.flatnonzero(n)
-            sig, keys = np.zeros((j - i, len(_SIGS)), np.int64), np.zeros((0, BANDS), np.int64)
+            full, keys = np.flatnonzero(n), np.zeros((0, BANDS), np.int64)
             if len(full):
-                m = minima(np.concatenate([offsets[:-1][full], offsets[-1:]]), hashes)
-                sig[full], keys = packed(m), band_keys(m)
+                keys = band_keys(minima(np.concatenate([offsets[:-1][full], offsets[-1:]]), hashes))
             own = ids.slice(i, j - i)
             digest = [
                 hashlib.blake2b(hashes[a:z].tobytes(), digest_size=16).digest() if z > a else b"empty %s" % str(k).encode()
                 for a, z, k in zip(offsets[:-1], offsets[1:], own.to_pylist(), strict=True)
             ]
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [own, pa.array(n), pa.array(digest, pa.binary()), *(pa.array(sig[:, k]) for k in range(len(_SIGS))), bands],
-                ["doc_id", "n", "digest", *_SIGS, "bands"],
-            )
+            yield pa.RecordBatch.from_arrays([own, pa.array(n), pa.array(digest, pa.binary()), bands], ["doc_id", "n", "digest", "bands"])
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts, ids = b.column("text"), b.column("doc_id")
+        for i, j in slices(texts):
+            offsets, hashes = shingle_sets(texts.slice(i, j - i))
+            n = np.diff(offsets)
+            full = np.flatnonzero(n)
+            if len(full):
+                sig = packed(minima(np.concatenate([offsets[:-1][full], offsets[-1:]]), hashes, HASHES, SIGNED))
+                own = ids.slice(i, j - i).take(pa.array(full))
+                yield pa.RecordBatch.from_arrays([own, pa.array(n[full]), *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(len(_SIGS)))], ["rep", "n", *_SIGS])
 
 
 def estimate(a: str, b: str) -> Column:
     """The similarity of two signatures, corrected for minima that differ and share their BITS low bits."""
-    words = HASHES // 64
+    words = SIGNED // 64
     differ = None
     for k in range(words):
         x = None
@@ -136,7 +143,7 @@ def estimate(a: str, b: str) -> Column:
             x = d if x is None else x.bitwiseOR(d)
         differ = F.bit_count(x) if differ is None else differ + F.bit_count(x)
     chance = 0.5**BITS
-    return ((1 - differ / F.lit(float(HASHES))) - chance) / (1 - chance)
+    return ((1 - differ / F.lit(float(SIGNED))) - chance) / (1 - chance)
 
 
 def _near(a: str, b: str) -> Column:
@@ -205,14 +212,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     folder = work_folder(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_sign, _SIGNED), folder, "signed")
-    classes = written(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), folder, "classes")
-    reps = signed.where("n > 0").join(classes, "digest").where("doc_id = rep").drop("digest", "doc_id")
-    reps = written(reps.dropDuplicates(["rep"]), folder, "reps")
-    rows = reps.select("rep", F.explode("bands").alias("key"))
+    banded = written(docs.mapInArrow(_band, "doc_id long, n long, digest binary, bands array<long>"), folder, "banded")
+    classes = written(banded.groupBy("digest").agg(F.min("doc_id").alias("rep")), folder, "classes")
+    rows = banded.where("n > 0").join(classes, "digest").where("doc_id = rep").select("rep", F.explode("bands").alias("key"))
     shared = written(rows.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead < other").drop("other"), folder, "shared")
-    buckets = written(rows.join(shared, "key"), folder, "buckets")
-    sig = reps.select("rep", "n", *_SIGS)
+    buckets = written(rows.join(shared, "key").distinct(), folder, "buckets")
+    wanted = buckets.select("rep").distinct()
+    texts = written(docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]), folder, "texts")
+    kinds = ", ".join(f"{c} long" for c in ("rep", "n", *_SIGS))
+    sig = written(texts.mapInArrow(_sign, kinds), folder, "signatures")
 
     def of(prefix: str) -> DataFrame:
         return sig.select(*(F.col(c).alias(f"{prefix}{c}") for c in sig.columns))
@@ -224,8 +232,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("rep").alias("b")).agg(F.max_by("lead", F.struct(estimate("a_", "b_"), -F.col("lead"))).alias("a"))
     )
     first = written(first.select("a", "b"), folder, "first")
-    wanted = buckets.select("rep").distinct()
-    texts = written(docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]), folder, "texts")
     links = written(confirmed(first, texts), folder, "links")
     part = written(components(links, folder), folder, "part")
 
@@ -249,7 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lifted = lifted.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
     top = components(lifted, folder).select(F.col("node").alias("t_node"), F.col("component").alias("top"))
     return (
-        signed.select("doc_id", "n", "digest")
+        banded.select("doc_id", "n", "digest")
         .join(classes, "digest")
         .join(part, F.col("rep") == F.col("node"), "left")
         .withColumn("component", F.coalesce("component", "rep"))
