@@ -81,9 +81,10 @@ def budgets(leaves: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, dom
     return leaves.select("_domain", "_lang", "_source", "tokens", F.col("_share").alias("budget"), whole.alias("whole"), (F.col("_share") - whole * F.col("tokens")).alias("rest"))
 
 
-def mixed(docs: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: str = SEED, domains: dict | None = None, languages: dict | None = None) -> DataFrame:
+def mixed(docs: DataFrame, tokens: str | None = None, percent: int = PERCENT, epochs: int = EPOCHS, seed: str = SEED, domains: dict | None = None, languages: dict | None = None) -> DataFrame:
     """The rows of docs (doc_id, text, lang, source and any other columns) that the mixture reads, one for each epoch,
-    with _domain, _lang, _source (null: 'none'), _tokens and _epoch from 0.
+    with _domain, _lang, _source (null: 'none'), _tokens and _epoch from 0. Tokens are the words of text, counted once
+    into a written copy of the rows, or those in the column that tokens names (text is not needed then).
 
     A leaf's budget takes whole epochs first and then the longest prefix of the next one, in the order of that epoch's
     md5 of seed, epoch and doc_id, whose tokens fit. Texts without words cost nothing. A leaf without tokens has budget
@@ -91,7 +92,8 @@ def mixed(docs: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: s
     are sorted, so that a leaf with most of the rows is no task of its own.
     """
     folder = work_folder(docs.sparkSession)
-    rows = docs.withColumns({"_domain": domain_of(F.col("source")), "_lang": F.coalesce("lang", F.lit("none")), "_source": F.coalesce("source", F.lit("none")), "_tokens": n_tokens("text")})
+    rows = docs.withColumns({"_domain": domain_of(F.col("source")), "_lang": F.coalesce("lang", F.lit("none")), "_source": F.coalesce("source", F.lit("none")), "_tokens": n_tokens("text") if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))})
+    rows = written(rows, folder, "counted")
     leaf = ["_domain", "_lang", "_source"]
     leaves = written(rows.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")), folder, "leaves")
     plan = written(budgets(leaves, percent, epochs, domains, languages), folder, "plan")
@@ -117,8 +119,8 @@ def mixed(docs: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: s
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mixture reads of documents: a row for each document and epoch."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixed(docs).select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", n_tokens("text").alias("n"))
+    return mixed(docs, "n").select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"))
 
 
 def mix_sql(documents: str = "documents", columns: str = "doc_id, domain, lang_ AS lang, source_ AS source, epoch, n_tokens") -> str:
