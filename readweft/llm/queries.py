@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_mixing, op2_urls, op3_neighbours, op4_quality, op5_sharding, op6_bpe, op7_near_dedup, op9_line_dedup, op10_pii
+from . import op1_mixing, op2_urls, op3_neighbours, op4_quality, op5_sharding, op6_bpe, op7_near_dedup, op8_substrings, op9_line_dedup, op10_pii
 
 QUERIES = {
     "op1_mixing": op1_mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sharding": op5_sharding.op5_sharding,
     "op6_bpe": op6_bpe.op6_bpe,
     "op7_minhash_near_dedup": op7_near_dedup.op7_minhash_near_dedup,
+    "op8_substring_dedup": op8_substrings.op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup.op9_line_dedup,
     "op10_pii": op10_pii.op10_pii,
 }
