@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 
 #: White space of the pre-tokenizer (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -279,6 +279,32 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256 of each row: the last stage of a pipeline."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                packed = [t.encode_packed(x or "") for x in part.column("text").to_pylist()]
+                flat = np.frombuffer(b"".join(packed), np.int32)
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+                back = [t.decode_bytes(np.frombuffer(x, "<u4").tolist()).decode("utf-8", "replace").encode() for x in packed]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(c) for c in ("doc_id", "lang", "source")), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                        *(pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (packed, back)),
+                    ],
+                    ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+                )
+
+    small_batches(docs.sparkSession)
+    kinds = "doc_id long, lang string, source string, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, kinds)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded and decoded."""
     return digests(table(spark, sf_dir, "documents"))

@@ -266,9 +266,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, all their columns as they are: one document of each component."""
+    """One row for each component of docs, the one of its smallest doc_id, with all its columns as they are.
+
+    Rows that repeat a doc_id leave one row. Rows with a null doc_id can't be told apart and all stay.
+    """
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+    return left.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
