@@ -70,6 +70,7 @@ def index(vectors: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, members
     nodes = written(nodes.withColumn("first", F.element_at("ids", 1)).withColumn("dim", F.size("embedding")), folder, "nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int")).drop("shards")
+    dealt = dealt.repartition(shuffle_partitions(vectors.sparkSession), "dim", "shard")  # a graph costs more than its bytes tell
     return written(dealt.groupBy("dim", "shard").applyInArrow(_build, _INDEX), folder, "index")
 
 
