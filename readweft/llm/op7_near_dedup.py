@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, shuffle_partitions, small_batches, table, work_folder, written
@@ -22,11 +22,11 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signatures, of texts that share a band only: so many minima, of which BITS low bits are kept.
-SIGNED, BITS = 1024, 2
-#: Candidates whose corrected estimate is this far below the bound are dropped: 4.6 standard errors (0.0163 each).
-MARGIN = 0.075
-#: Members whose sets are compared in one task with one copy of the group's text.
-PER_TASK = 256
+SIGNED, BITS = 2048, 2
+#: Candidates whose corrected estimate is this far below the bound are dropped: 4.6 standard errors (0.0115 each).
+MARGIN = 0.053
+#: Members that share a copy of their group's centre, and rows of a bucket that are compared with others at once.
+PER_TASK, BLOCK = 256, 512
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(20240229)
@@ -84,12 +84,26 @@ def minima(offsets: np.ndarray, hashes: np.ndarray, first: int = 0, count: int =
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """The BITS low bits of (mixed) minima as bit planes: SIGNED / 64 int64 a plane."""
+    """The BITS low bits of (mixed) minima as bit planes: SIGNED / 64 words a plane."""
     low = low ^ (low >> np.uint32(16))
-    planes = [np.packbits(np.ascontiguousarray((low >> np.uint32(b)) & np.uint32(1)).astype(np.uint8), axis=1).view("<i8") for b in range(BITS)]
+    planes = [np.packbits(np.ascontiguousarray((low >> np.uint32(b)) & np.uint32(1)).astype(np.uint8), axis=1).view("<u8") for b in range(BITS)]
     return np.concatenate(planes, 1)
 
 
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarities of rows of signatures (which broadcast), corrected for minima that differ and share their low bits."""
+    words = SIGNED // 64
+    differ = a[..., :words] ^ b[..., :words]
+    for p in range(1, BITS):
+        differ |= a[..., p * words : (p + 1) * words] ^ b[..., p * words : (p + 1) * words]
+    equal = 1 - np.bitwise_count(differ).sum(-1, dtype=np.int64) / SIGNED
+    return (equal - 0.5**BITS) / (1 - 0.5**BITS)
+
+
+def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+
+
 def band_keys(m: np.ndarray) -> np.ndarray:
     pairs = np.ascontiguousarray(m).view("<u8").reshape(len(m), BANDS, ROWS // 2)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _P
@@ -98,9 +112,6 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGS = [f"s{k}" for k in range(BITS * SIGNED // 64)]
-
-
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, ids = b.column("text"), b.column("doc_id")
@@ -121,7 +132,7 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, ids = b.column("text"), b.column("doc_id")
+        texts, ids = b.column("text"), b.column("id")
         for i, j in slices(texts):
             offsets, hashes = shingle_sets(texts.slice(i, j - i))
             n = np.diff(offsets)
@@ -129,27 +140,72 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(full):
                 sig = packed(minima(np.concatenate([offsets[:-1][full], offsets[-1:]]), hashes, HASHES, SIGNED))
                 own = ids.slice(i, j - i).take(pa.array(full))
-                yield pa.RecordBatch.from_arrays([own, pa.array(n[full]), *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(len(_SIGS)))], ["rep", "n", *_SIGS])
+                yield pa.RecordBatch.from_arrays([own, pa.array(n[full]), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n", "sig"])
 
 
-def estimate(a: str, b: str) -> Column:
-    """The similarity of two signatures, corrected for minima that differ and share their BITS low bits."""
-    words = SIGNED // 64
-    differ = None
-    for k in range(words):
-        x = None
-        for p in range(BITS):
-            d = F.col(f"{a}s{p * words + k}").bitwiseXOR(F.col(f"{b}s{p * words + k}"))
-            x = d if x is None else x.bitwiseOR(d)
-        differ = F.bit_count(x) if differ is None else differ + F.bit_count(x)
-    chance = 0.5**BITS
-    return ((1 - differ / F.lit(float(SIGNED))) - chance) / (1 - chance)
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
 
 
-def _near(a: str, b: str) -> Column:
-    """Sizes that allow a link, and an estimate that does not exclude it."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (estimate(a, b) >= PERCENT / 100 - MARGIN)
+def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of along(): the pairs whose sizes and estimate allow a link, with the estimate."""
+    held = key = None
+    for batch in batches:
+        sig, n = _signatures(batch.column("sig")), batch.column("n").to_pylist()
+        out = []
+        for k, (a, salt, member, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "member", "b")), strict=True)):
+            if member == 0:
+                held, key = (sig[k].copy(), n[k]), (a, salt)
+            elif key == (a, salt) and _sizes_fit(n[k], held[1]):
+                near = float(estimates(held[0], sig[k]))
+                if near >= PERCENT / 100 - MARGIN:
+                    out.append((a, b, near))
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "near"])
+
+
+def _compare(best: bool):
+    """Rows (key, block, query, rep, comp, n, sig) in order: those of a block (query 0), then the queries that are
+    compared with it. Yields the pairs of different components that may be linked; with best, one for each query."""
+
+    def pairs(block: list[np.ndarray], query: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        b_rep, b_comp, b_n, b_sig = block
+        for k in range(0, len(query[0]), 64):
+            rep, comp, n, sig = (c[k : k + 64] for c in query)
+            x, y = np.nonzero((comp[:, None] != b_comp) & _sizes_fit(n[:, None], b_n))
+            if not len(x):
+                continue
+            near = np.concatenate([estimates(sig[x[i : i + 4096]], b_sig[y[i : i + 4096]]) for i in range(0, len(x), 4096)])
+            good = near >= PERCENT / 100 - MARGIN
+            x, y, near = x[good], y[good], near[good]
+            if best and len(x):
+                order = np.lexsort((-near, x))
+                first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])]
+                x, y, near = x[first], y[first], near[first]
+            if len(x):
+                yield rep[x], b_rep[y], near
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, None
+        for batch in batches:
+            place = np.stack([batch.column("key").to_numpy(), batch.column("block").to_numpy(), batch.column("query").to_numpy()], 1)
+            cols = [batch.column(c).to_numpy() for c in ("rep", "comp", "n")] + [_signatures(batch.column("sig"))]
+            edges = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+            found = []
+            for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(place)], strict=True):
+                if a == z:
+                    continue
+                own, is_query = tuple(place[a, :2]), place[a, 2]
+                part = [c[a:z] for c in cols]
+                if not is_query:
+                    block = [np.concatenate([x, y]) for x, y in zip(block, part, strict=True)] if key == own else [c.copy() for c in part]
+                    key = own
+                elif key == own:
+                    found += pairs(block, part)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["a", "b", "near"])
+
+    return run
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,23 +231,50 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked. Pairs of one a share a copy of its text for each PER_TASK of them."""
-    n = shuffle_partitions(pairs.sparkSession)
+def along(pairs: DataFrame, items: DataFrame, *payload: str) -> DataFrame:
+    """For each a of pairs (a, b), in order: a row with the payload of item a (member 0), then one for each b.
+
+    Pairs of one a share a copy of it for each PER_TASK of them; more go to other tasks by salt."""
     groups = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / PER_TASK).cast("int").alias("salts"))
-    text = texts.select(F.col("doc_id").alias("id"), "text")
-    heads = (
-        groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        .join(text, F.col("a") == F.col("id"))
-        .select("a", "salt", F.lit(0).alias("member"), F.col("a").alias("b"), "text")
-    )
-    members = (
-        pairs.join(groups, "a")
-        .select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-        .join(text, F.col("b") == F.col("id"))
-        .select("a", "salt", F.lit(1).alias("member"), "b", "text")
-    )
-    return heads.unionByName(members).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(_confirm, "a long, b long")
+    items = items.select("id", *payload)
+    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(items, F.col("a") == F.col("id"))
+    members = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b").join(items, F.col("b") == F.col("id"))
+    rows = heads.select("a", "salt", F.lit(0).alias("member"), F.col("a").alias("b"), *payload).unionByName(members.select("a", "salt", F.lit(1).alias("member"), "b", *payload))
+    return rows.repartition(shuffle_partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are linked."""
+    return along(pairs, texts, "text").mapInArrow(_confirm, "a long, b long")
+
+
+def compared(buckets: DataFrame, part: DataFrame, sig: DataFrame, folder: str, best: bool) -> DataFrame:
+    """(a, b, near): pairs of one bucket and of different components that may be linked.
+
+    Every class outside the largest component of its bucket is compared with the whole bucket, in blocks; pairs within
+    a component and within the largest one are not looked at. No rows are made for pairs that the estimate excludes.
+    """
+    placed = buckets.join(part, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    counts = written(placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")), folder, "counts")
+    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("comp", F.struct("m", "comp")).alias("major"), F.sum("m").alias("all"))
+    mixed = written(mixed.where("k > 1").select("key", "major", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), folder, "mixed")
+    rows = written(placed.join(mixed, "key"), folder, "open").join(sig, F.col("rep") == F.col("id"))
+    whole = rows.withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "query": F.lit(0)})
+    queries = rows.where("comp <> major").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "query": F.lit(1)})
+    names = ["key", "block", "query", "rep", "comp", "n", "sig"]
+    dealt = whole.select(*names).unionByName(queries.select(*names)).repartition(shuffle_partitions(buckets.sparkSession), "key", "block")
+    return dealt.sortWithinPartitions("key", "block", "query").mapInArrow(_compare(best), "a long, b long, near double")
+
+
+def united(part: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """part (node, component) after more links (a, b)."""
+    of_a, of_b = (part.select(F.col("node").alias(f"{x}_node"), F.col("component").alias(f"{x}_c")) for x in "ab")
+    lifted = links.join(of_a, F.col("a") == F.col("a_node"), "left").join(of_b, F.col("b") == F.col("b_node"), "left")
+    top = written(components(lifted.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")), folder), folder, "top")
+    moved = part.join(top.withColumnsRenamed({"node": "t", "component": "top"}), F.col("component") == F.col("t"), "left")
+    moved = moved.select("node", F.coalesce("top", "component").alias("component"))
+    new = top.join(part.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
+    return written(moved.unionByName(new), folder, "part")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,11 +282,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     1. Texts with equal sets are one class, represented by its smallest doc_id; only classes go on.
     2. In each band bucket the class of the smallest id is a star's centre; each class confirms its best estimated
-       centre on the full sets. The links' components are found.
-    3. In buckets that still hold several components, every class outside the bucket's largest component is
-       compared with every class of other components (in blocks, by estimate, then on full sets). Pairs within a
-       component are never made: they cannot change the result. So each band candidate is either confirmed, refuted
-       or already within one component, however large the bucket.
+       centre on the full sets. Components of the links are found.
+    3. In buckets that hold several components, each class outside the bucket's largest one confirms its best
+       estimated candidate of other components; components are found again.
+    4. What then still may be linked across components is confirmed pair by pair. Pairs within a component are never
+       made: they cannot change the result. So each band candidate is confirmed, refuted by its estimate or sets, or
+       within one component, however large the bucket.
 
     Null and empty texts have n_shingles 0 and are linked with nothing. Repeated rows get equal rows; rows that share
     a doc_id count as one node. A null doc_id is linked by equal sets only.
@@ -218,49 +302,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = written(rows.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead < other").drop("other"), folder, "shared")
     buckets = written(rows.join(shared, "key").distinct(), folder, "buckets")
     wanted = buckets.select("rep").distinct()
-    texts = written(docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]), folder, "texts")
-    kinds = ", ".join(f"{c} long" for c in ("rep", "n", *_SIGS))
-    sig = written(texts.mapInArrow(_sign, kinds), folder, "signatures")
-
-    def of(prefix: str) -> DataFrame:
-        return sig.select(*(F.col(c).alias(f"{prefix}{c}") for c in sig.columns))
-
-    first = (
-        buckets.where("rep <> lead").select("rep", "lead").distinct()
-        .join(of("b_"), F.col("rep") == F.col("b_rep")).join(of("a_"), F.col("lead") == F.col("a_rep"))
-        .where(_near("a_", "b_"))
-        .groupBy(F.col("rep").alias("b")).agg(F.max_by("lead", F.struct(estimate("a_", "b_"), -F.col("lead"))).alias("a"))
-    )
-    first = written(first.select("a", "b"), folder, "first")
-    links = written(confirmed(first, texts), folder, "links")
-    part = written(components(links, folder), folder, "part")
-
-    placed = buckets.join(part, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    counts = written(placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")), folder, "counts")
-    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("comp", F.struct("m", "comp")).alias("major")).where("k > 1").drop("k")
-    mixed = written(mixed, folder, "mixed")
-    open_rows = written(placed.join(mixed, "key").join(sig, "rep"), folder, "open")
-    left = open_rows.where("comp <> major").select("key", F.col("comp").alias("a_comp"), *(F.col(c).alias(f"a_{c}") for c in sig.columns))
-    right = open_rows.select("key", "major", F.col("comp").alias("b_comp"), *(F.col(c).alias(f"b_{c}") for c in sig.columns))
-    second = (
-        left.join(right, "key")
-        .where((F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("major")) | (F.col("a_rep") < F.col("b_rep"))) & _near("a_", "b_"))
-        .select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = written(confirmed(written(second, folder, "second"), texts), folder, "more")
-    of_a, of_b = (part.select(F.col("node").alias(f"{x}_node"), F.col("component").alias(f"{x}_c")) for x in "ab")
-    lifted = more.join(of_a, F.col("a") == F.col("a_node"), "left").join(of_b, F.col("b") == F.col("b_node"), "left")
-    lifted = lifted.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    top = components(lifted, folder).select(F.col("node").alias("t_node"), F.col("component").alias("top"))
+    texts = docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+    texts = written(texts, folder, "texts")
+    sig = written(texts.mapInArrow(_sign, "id long, n long, sig binary"), folder, "signatures")
+    stars = written(buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), folder, "stars")
+
+    def best(near: DataFrame, of: str, other: str, name: str) -> DataFrame:
+        chosen = near.groupBy(F.col(of).alias("b")).agg(F.max_by(other, F.struct("near", -F.col(other))).alias("a"))
+        return written(chosen.select("a", "b"), folder, name)
+
+    first = best(along(stars, sig, "n", "sig").mapInArrow(_estimate, "a long, b long, near double"), "b", "a", "first")
+    part = written(components(confirmed(first, texts), folder), folder, "part")
+    second = best(compared(buckets.where(F.pmod("key", F.lit(2)) == 0), part, sig, folder, True), "a", "b", "second")
+    part = united(part, confirmed(second, texts), folder)
+    tested = first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = compared(buckets, part, sig, folder, False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = written(left.join(tested, ["a", "b"], "left_anti"), folder, "left")
+    part = united(part, confirmed(left, texts), folder)
     return (
         banded.select("doc_id", "n", "digest")
         .join(classes, "digest")
         .join(part, F.col("rep") == F.col("node"), "left")
-        .withColumn("component", F.coalesce("component", "rep"))
-        .join(written(top, folder, "top"), F.col("component") == F.col("t_node"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("top", "component").alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
