@@ -138,9 +138,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(offsets)
             full = np.flatnonzero(n)
             if len(full):
-                sig = packed(minima(np.concatenate([offsets[:-1][full], offsets[-1:]]), hashes, HASHES, SIGNED))
+                ends = np.concatenate([offsets[:-1][full], offsets[-1:]])
+                both = [packed(minima(ends, hashes, HASHES, SIGNED)), band_keys(minima(ends, hashes))]
                 own = ids.slice(i, j - i).take(pa.array(full))
-                yield pa.RecordBatch.from_arrays([own, pa.array(n[full]), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([own, pa.array(n[full]), *(pa.array([x.tobytes() for x in rows], pa.binary()) for rows in both)], ["id", "n", "sig", "bands"])
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -165,14 +166,18 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(best: bool):
-    """Rows (key, block, query, rep, comp, n, sig) in order: those of a block (query 0), then the queries that are
-    compared with it. Yields the pairs of different components that may be linked; with best, one for each query."""
+    """Rows (key, block, query, rep, comp, major, n, sig, bands) in order: those of a block (query 0), then the queries
+    that are compared with it. Yields the pairs of different components that may be linked: with best, the best one of
+    each query; else all, each in the first band that both have, and once if both are queries."""
 
-    def pairs(block: list[np.ndarray], query: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-        b_rep, b_comp, b_n, b_sig = block
+    def pairs(key: int, block: list[np.ndarray], query: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        b_rep, b_comp, b_n, b_major, b_sig, b_bands = block
         for k in range(0, len(query[0]), 64):
-            rep, comp, n, sig = (c[k : k + 64] for c in query)
-            x, y = np.nonzero((comp[:, None] != b_comp) & _sizes_fit(n[:, None], b_n))
+            rep, comp, n, _, sig, bands = (c[k : k + 64] for c in query)
+            fit = (comp[:, None] != b_comp) & _sizes_fit(n[:, None], b_n)
+            if not best:
+                fit &= (b_comp == b_major) | (rep[:, None] < b_rep)
+            x, y = np.nonzero(fit)
             if not len(x):
                 continue
             near = np.concatenate([estimates(sig[x[i : i + 4096]], b_sig[y[i : i + 4096]]) for i in range(0, len(x), 4096)])
@@ -182,6 +187,10 @@ def _compare(best: bool):
                 order = np.lexsort((-near, x))
                 first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])]
                 x, y, near = x[first], y[first], near[first]
+            elif len(x):
+                same = bands[x] == b_bands[y]
+                here = bands[x, same.argmax(1)].view(np.int64) == key
+                x, y, near = x[here], y[here], near[here]
             if len(x):
                 yield rep[x], b_rep[y], near
 
@@ -189,7 +198,7 @@ def _compare(best: bool):
         key, block = None, None
         for batch in batches:
             place = np.stack([batch.column("key").to_numpy(), batch.column("block").to_numpy(), batch.column("query").to_numpy()], 1)
-            cols = [batch.column(c).to_numpy() for c in ("rep", "comp", "n")] + [_signatures(batch.column("sig"))]
+            cols = [batch.column(c).to_numpy() for c in ("rep", "comp", "n", "major")] + [_signatures(batch.column(c)) for c in ("sig", "bands")]
             edges = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
             found = []
             for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(place)], strict=True):
@@ -201,7 +210,7 @@ def _compare(best: bool):
                     block = [np.concatenate([x, y]) for x, y in zip(block, part, strict=True)] if key == own else [c.copy() for c in part]
                     key = own
                 elif key == own:
-                    found += pairs(block, part)
+                    found += pairs(int(own[0]), block, part)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["a", "b", "near"])
 
@@ -261,7 +270,7 @@ def compared(buckets: DataFrame, part: DataFrame, sig: DataFrame, folder: str, b
     rows = written(placed.join(mixed, "key"), folder, "open").join(sig, F.col("rep") == F.col("id"))
     whole = rows.withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "query": F.lit(0)})
     queries = rows.where("comp <> major").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "query": F.lit(1)})
-    names = ["key", "block", "query", "rep", "comp", "n", "sig"]
+    names = ["key", "block", "query", "rep", "comp", "major", "n", "sig", "bands"]
     dealt = whole.select(*names).unionByName(queries.select(*names)).repartition(shuffle_partitions(buckets.sparkSession), "key", "block")
     return dealt.sortWithinPartitions("key", "block", "query").mapInArrow(_compare(best), "a long, b long, near double")
 
@@ -304,7 +313,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = buckets.select("rep").distinct()
     texts = docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
     texts = written(texts, folder, "texts")
-    sig = written(texts.mapInArrow(_sign, "id long, n long, sig binary"), folder, "signatures")
+    sig = written(texts.mapInArrow(_sign, "id long, n long, sig binary, bands binary"), folder, "signatures")
     stars = written(buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), folder, "stars")
 
     def best(near: DataFrame, of: str, other: str, name: str) -> DataFrame:
