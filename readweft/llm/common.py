@@ -33,6 +33,17 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(df: DataFrame, **columns) -> DataFrame:
+    """_row with all columns of df, and columns of an operator's own: whatever names df has, they do not clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(c.alias(k) for k, c in columns.items()))
+
+
+def unboxed(df: DataFrame, **columns) -> DataFrame:
+    """The columns in _row, then the given ones; these take the place of equal names."""
+    names = [c for c in df.schema["_row"].dataType.names if c.lower() not in {k.lower() for k in columns}]
+    return df.select(*(F.col("_row").getField(c).alias(c) for c in names), *(c.alias(k) for k, c in columns.items()))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of at most so many rows, so that batches of long texts stay small on both sides of the pipe."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

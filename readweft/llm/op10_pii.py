@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import boxed, table, unboxed
 
 KEY = "pseudonym-key-1"
 ROUNDS = 8
@@ -158,12 +158,13 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFr
     Null text stays null, empty text empty (both with 0 found). What is not valid stays as it is. The same value gets
     the same pseudonym in every row, and different values of a kind get different ones.
     """
-    split, hits = F.split(F.col(text), ANY, -1), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    some = F.col(text).rlike(HINT)
-    rows = docs.withColumn("_hits", F.when(some, hits)).withColumn("_new", F.when(F.size("_hits") > 0, F.transform("_hits", lambda h: pseudonym(h, key))))
-    changed = F.when(F.size("_hits") > 0, F.array_join(F.zip_with(split, F.col("_new"), lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")).otherwise(F.col(text))
-    found = F.when(F.size("_hits") > 0, F.size(F.filter(F.zip_with("_hits", "_new", lambda h, x: h != x), lambda x: x))).otherwise(0)
-    return rows.withColumns({"_text": changed, "_found": found.cast("long")}).drop("_hits", "_new")
+    rows = boxed(docs, t=F.col(text))
+    rows = rows.withColumn("hits", F.when(F.col("t").rlike(HINT), F.regexp_extract_all("t", F.lit(ANY), F.lit(0))))
+    rows = rows.withColumn("new", F.when(F.size("hits") > 0, F.transform("hits", lambda h: pseudonym(h, key))))
+    put = F.zip_with(F.split("t", ANY, -1), "new", lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
+    found = F.size(F.filter(F.zip_with("hits", "new", lambda h, x: h != x), lambda x: x))
+    some = F.size("hits") > 0
+    return unboxed(rows, _text=F.when(some, F.array_join(put, "")).otherwise(F.col("t")), _found=F.when(some, found).otherwise(0).cast("long"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, work_folder, written
+from .common import boxed, table, unboxed, work_folder, written
 
 #: Weights are whole numbers, so that budgets are exact; names that are missing have DEFAULT.
 DEFAULT = 100
@@ -92,7 +92,9 @@ def mixed(docs: DataFrame, tokens: str | None = None, percent: int = PERCENT, ep
     are sorted, so that a leaf with most of the rows is no task of its own.
     """
     folder = work_folder(docs.sparkSession)
-    rows = docs.withColumns({"_domain": domain_of(F.col("source")), "_lang": F.coalesce("lang", F.lit("none")), "_source": F.coalesce("source", F.lit("none")), "_tokens": n_tokens("text") if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))})
+    counted = n_tokens("text") if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))
+    source = F.coalesce("source", F.lit("none"))
+    rows = boxed(docs, _id=F.col("doc_id"), _domain=domain_of(F.col("source")), _lang=F.coalesce("lang", F.lit("none")), _source=source, _tokens=counted)
     rows = written(rows, folder, "counted")
     leaf = ["_domain", "_lang", "_source"]
     leaves = written(rows.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")), folder, "leaves")
@@ -100,7 +102,7 @@ def mixed(docs: DataFrame, tokens: str | None = None, percent: int = PERCENT, ep
     small = plan.count() <= BROADCAST_ROWS
     own = plan.select(*leaf, "whole", "rest")
     rows = rows.join(F.broadcast(own) if small else own, leaf)
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, DIGITS))
     sums = written(rows.groupBy(*leaf, "_range").agg(F.sum("_tokens").alias("n"), F.max("rest").alias("r")), folder, "ranges")
     upto = F.sum("n").over(W.partitionBy(*leaf).orderBy("_range").rowsBetween(W.unboundedPreceding, 0))
@@ -111,10 +113,10 @@ def mixed(docs: DataFrame, tokens: str | None = None, percent: int = PERCENT, ep
     inside = F.coalesce(F.col("_upto") <= F.col("rest"), F.lit(False))
     edge = F.col("_before").isNotNull() & ~inside
     done = placed.where(~edge).withColumn("_copies", F.col("whole") + F.when(inside, 1).otherwise(0))
-    seen = F.sum("_tokens").over(W.partitionBy(*leaf, "_range").orderBy("_key", "doc_id", "_tokens").rowsBetween(W.unboundedPreceding, 0))
+    seen = F.sum("_tokens").over(W.partitionBy(*leaf, "_range").orderBy("_key", "_id", "_tokens").rowsBetween(W.unboundedPreceding, 0))
     cut = placed.where(edge).withColumn("_seen", F.col("_before") + seen).withColumn("_copies", F.col("whole") + F.when(F.col("_seen") <= F.col("rest"), 1).otherwise(0)).drop("_seen")
     out = done.unionByName(cut).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    return out.drop("whole", "rest", "_key", "_range", "_before", "_upto", "_copies")
+    return unboxed(out, **{k: F.col(k) for k in ("_domain", "_lang", "_source", "_tokens", "_epoch")})
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import boxed, table, unboxed
 
 #: (verdict, host, path) of the query's rules.
 RULES = [
@@ -57,9 +57,10 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str
         F.collect_set(F.size(F.split("rule_host", r"\."))).alias("labels"),
         F.collect_set(F.length("rule_path")).alias("lengths"),
     ).first()
-    host, path = parts(F.col(url))
+    rows = boxed(pages, u=F.col(url))
+    host, path = parts(F.col("u"))
     if at["n"] == 0:
-        return pages.withColumns({"_host": host, "_path": path, "_rule": F.lit(None).cast("string"), "_verdict": F.lit(default)})
+        return unboxed(rows, _host=host, _path=path, _rule=F.lit(None).cast("string"), _verdict=F.lit(default))
     digest = F.sha2(F.concat_ws("\n", "rule_host", "rule_path"), 256)
     rule = rules.select(
         F.substring(digest, 1, PREFIX).alias("k"), digest.alias("digest"), F.concat("rule_host", "rule_path").alias("rule"), F.length("rule_host").alias("hl"), "verdict"
@@ -67,7 +68,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str
     if at["n"] <= BROADCAST_RULES:
         rule = F.broadcast(rule)
     labels, lengths = (F.array(*map(F.lit, sorted(x))) for x in (at["labels"], at["lengths"]))
-    parsed = pages.select(F.col(url).alias("u")).where("u is not null").distinct().select("u", host_of("u")[0].alias("host"), host_of("u")[1].alias("path"))
+    parsed = rows.select("u").where("u is not null").distinct().select("u", host_of("u")[0].alias("host"), host_of("u")[1].alias("path"))
     names = parsed.withColumn("names", F.split("host", r"\.", -1))
     suffixes = F.transform(
         F.filter(labels, lambda k: k <= F.size("names")), lambda k: F.array_join(F.slice("names", F.size("names") - k + 1, k), ".")
@@ -82,11 +83,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str
         .agg(F.max(F.struct(F.length("rule").alias("l"), "hl", F.when(F.col("verdict") == "block", 1).otherwise(0).alias("b"), "rule", "verdict")).alias("best"))
         .select(F.col("u").alias("_u"), F.col("best.rule").alias("_rule"), F.col("best.verdict").alias("_said"))
     )
-    return (
-        pages.join(told, F.col(url) == F.col("_u"), "left")
-        .withColumns({"_host": host, "_path": path, "_verdict": F.coalesce("_said", F.lit(default))})
-        .drop("_u", "_said")
-    )
+    return unboxed(rows.join(told, F.col("u") == F.col("_u"), "left"), _host=host, _path=path, _rule=F.col("_rule"), _verdict=F.coalesce("_said", F.lit(default)))
 
 
 def host_of(name: str) -> tuple:

@@ -166,12 +166,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(sum(WEIGHTS)))
     arrival = F.coalesce(*(F.when(share < sum(WEIGHTS[: k + 1]), k) for k in range(len(WEIGHTS))))
-    rows = docs.withColumn("_arrival", arrival)
+    name = f"arrival_{uuid.uuid4().hex}"
+    rows = docs.withColumn(name, arrival)
     store = Store(spark, work_folder(spark))
-    sums = rows.groupBy("_arrival").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).collect()
-    names = store.staged(rows, "_arrival")
+    sums = rows.groupBy(name).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    names = store.staged(rows, name)
     for r in sorted(sums):
-        store.commit(store.append(store.manifest(), names[r["_arrival"]], int(r["b"]), int(r["n"]), docs.schema))
+        store.commit(store.append(store.manifest(), names[r[name]], int(r["b"]), int(r["n"]), docs.schema))
         store.compact()
     m = store.manifest()
     if not m["runs"]:

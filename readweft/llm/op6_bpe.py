@@ -225,7 +225,7 @@ def default_path() -> str:
 
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """Every row of docs with its columns and _ids: array<int>. A null text counts as empty and has no ids."""
-    path = path or default_path()
+    path, docs = path or default_path(), docs.drop("_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -244,7 +244,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
 
 def decoded(rows: DataFrame, ids: str = "_ids", path: str | None = None) -> DataFrame:
     """Every row with its columns and _decoded: string."""
-    path = path or default_path()
+    path, rows = path or default_path(), rows.drop("_decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)

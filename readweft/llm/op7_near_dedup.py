@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, shuffle_partitions, small_batches, table, work_folder, written
+from .common import boxed, components, shuffle_partitions, small_batches, table, unboxed, work_folder, written
 from .op4_quality import slices, words_of
 
 WORDS = 5
@@ -342,9 +342,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id leave one row. Rows with a null doc_id can't be told apart and all stay.
     """
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
-    return left.unionByName(docs.where(F.col("doc_id").isNull()))
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("g")).distinct()
+    rows = boxed(docs, i=F.col("doc_id").cast("long"))
+    left = rows.where("i is not null").join(gone, F.col("i") == F.col("g"), "left_anti").dropDuplicates(["i"])
+    return unboxed(left.unionByName(rows.where("i is null")))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

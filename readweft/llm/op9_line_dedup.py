@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, work_folder, written
+from .common import boxed, table, unboxed, work_folder, written
 
 #: A line is boilerplate on more than this share of a host's pages, and on at least MIN_PAGES of them.
 RATIO, MIN_PAGES = 0.05, 5
@@ -39,22 +39,18 @@ def cleaned(docs: DataFrame, host: str = "source", text: str = "text", ratio: fl
     they are; a page may become empty and is kept. Repeated rows count as pages of their own.
     """
     folder = work_folder(docs.sparkSession)
-    drop = written(boilerplate(docs, host, text, ratio, min_pages), folder, "boilerplate")
+    rows = boxed(docs, h=F.col(host), t=F.col(text))
+    drop = written(boilerplate(rows, "h", "t", ratio, min_pages), folder, "boilerplate")
     n = drop.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
-    joined = docs.join(F.broadcast(drop) if n <= BROADCAST_LINES else drop, F.col(host) == F.col("_host"), "left")
-    lines = _lines(text)
+    joined = rows.join(F.broadcast(drop) if n <= BROADCAST_LINES else drop, F.col("h") == F.col("_host"), "left")
+    lines = _lines("t")
     left = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_drop"), F.xxhash64(x)))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(left)
-    return (
-        joined.withColumn("_kept", kept)
-        .withColumns(
-            {
-                "_text": F.array_join("_kept", "\n"),
-                "_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-                "_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"),
-            }
-        )
-        .drop("_host", "_drop", "_kept")
+    return unboxed(
+        joined.withColumn("_kept", kept),
+        _text=F.array_join("_kept", "\n"),
+        _lines=F.when(F.col("t").isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        _dropped=F.when(F.col("t").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"),
     )
 
 
