@@ -71,11 +71,10 @@ class _Lines:
         return at, line.rstrip(b"\r\n")
 
 
-def _fastq(f, start: int, end: int | None, dense: bool) -> Iterator[tuple]:
-    lines = _Lines(f, start)
-    if start:
-        lines = _Lines(f, _fastq_start(f, start))
-    k = 0
+def _fastq(f, at: int, end: int | None, dense: bool, k: int = 0) -> Iterator[tuple]:
+    """The records from the one at byte at on, line by line; k is its number."""
+    f.seek(at)
+    lines = _Lines(f, at)
     while True:
         got = lines.next()
         while got is not None and not got[1]:
@@ -96,6 +95,45 @@ def _fastq(f, start: int, end: int | None, dense: bool) -> Iterator[tuple]:
         k += 1
 
 
+def _fastq_columns(f, start: int, end: int | None, dense: bool) -> Iterator[tuple]:
+    """Lists (ord, id, desc, seq, qual) of the records that start in the range, block by block.
+
+    Blocks of plain four-line records are cut up at once; what is anything else (white space in odd places, carriage
+    returns, other than ASCII, errors) goes line by line from there on.
+    """
+    at, rest, k = _fastq_start(f, start) if start else 0, b"", 0
+    f.seek(at)
+    while True:
+        chunk = f.read(BATCH_BYTES)
+        data = rest + chunk
+        lines = data.split(b"\n")
+        tail = lines.pop()
+        if not chunk and tail:
+            lines.append(tail)
+        n = len(lines) // 4 * 4
+        heads, seqs, marks, quals = (lines[j:n:4] for j in range(4))
+        fine = data.isascii() and b"\r" not in data and b"\t" not in data and all(h[:1] == b"@" for h in heads) and all(m[:1] == b"+" for m in marks)
+        sizes = list(map(len, seqs))
+        if not fine or sizes != list(map(len, quals)) or not chunk and any(lines[n:]):
+            if rows := list(_fastq(f, at, end, dense, k)):
+                yield tuple(map(list, zip(*rows, strict=True)))
+            return
+        if n:
+            whole = np.array([len(h) + len(m) for h, m in zip(heads, marks, strict=True)], np.int64) + 2 * np.array(sizes, np.int64) + 4
+            places = at + np.cumsum(whole) - whole
+            take = len(places) if end is None else int(np.searchsorted(places, end))
+            parts = [h[1:].partition(b" ") for h in heads[:take]]
+            ords = list(range(k, k + take)) if dense else places[:take].tolist()
+            if take:
+                yield ords, [p[0] for p in parts], [p[2].strip() or None for p in parts], seqs[:take], quals[:take]
+            if take < len(places):
+                return
+            at, k = at + int(whole.sum()), k + take
+        if not chunk:
+            return
+        rest = b"\n".join([*lines[n:], tail])
+
+
 def _fastq_start(f, start: int) -> int:
     """The first record that starts at or after start. @ may also begin a quality line, so that the line after next
     must start with + and the lengths of the lines around it must agree."""
@@ -207,7 +245,30 @@ def records(r: _Range) -> Iterator[tuple]:
         if r.kind == BAM:
             yield from _bam(raw)
         else:
-            yield from (_fastq if r.kind == FASTQ else _fasta)(f, r.start, r.end, r.zipped)
+            yield from _fasta(f, r.start, r.end, r.zipped)
+
+
+def columns(r: _Range) -> Iterator[tuple]:
+    """Lists (ord, id, desc, seq, qual) of the records that start in the range, in batches."""
+    if r.kind == FASTQ:
+        with open_bytes(r.path) as raw:
+            f = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if r.zipped else raw
+            yield from _fastq_columns(f, r.start, r.end, r.zipped)
+        return
+    held, size = [], 0
+    for row in records(r):
+        held.append(row)
+        size += 100 + 2 * len(row[3])
+        if size > BATCH_BYTES:
+            yield tuple(zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(zip(*held, strict=True))
+
+
+def _strings(values: list) -> pa.Array:
+    """Text of a list of str or of ASCII bytes."""
+    return pa.array(values, pa.binary()).cast(pa.string()) if any(isinstance(v, bytes) for v in values[:1]) else pa.array(values, pa.string())
 
 
 class ReadsReader(DataSourceReader):
@@ -233,26 +294,16 @@ class ReadsReader(DataSourceReader):
         return out
 
     def read(self, r: _Range) -> Iterator[pa.RecordBatch]:
-        held, size, left = [], 0, self.limit or sys.maxsize
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            n = len(rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r.idx] * n, pa.int32()), pa.array([r.label] * n), pa.array([r.kind] * n), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], schema=_ARROW
-            )
-
-        for row in records(r):
-            held.append(row)
-            size += 100 + 2 * len(row[3])
-            left -= 1
-            if size > BATCH_BYTES:
-                yield batch(held)
-                held, size = [], 0
+        left = self.limit or sys.maxsize
+        for ords, ids, descs, seqs, quals in columns(r):
+            n = min(len(ords), left)
+            descs = [d.decode() if isinstance(d, bytes) else d for d in descs[:n]]
+            fixed = [pa.array([v] * n, t) for v, t in ((r.idx, pa.int32()), (r.label, pa.string()), (r.kind, pa.string()))]
+            own = [pa.array(ords[:n], pa.int64()), _strings(ids[:n]), pa.array(descs, pa.string()), _strings(seqs[:n]), _strings(quals[:n])]
+            yield pa.RecordBatch.from_arrays([*fixed, *own], schema=_ARROW)
+            left -= n
             if not left:
-                break
-        if held:
-            yield batch(held)
+                return
 
 
 class ReadsSource(DataSource):

@@ -42,6 +42,37 @@ def test_splits_lose_and_double_nothing(spark, files, size):
     assert rows(read_reads(spark, files["fa"], split_bytes=size)) == rows(read_reads(spark, files["fa"]))
 
 
+def test_fastq_blocks(spark, files, monkeypatch):
+    """Records across blocks, odd line ends and descriptions come out as they do line by line."""
+    import random
+
+    from readweft.sources import reader
+
+    rng = random.Random(1)
+    for ends, extra in (("\n", ""), ("\r\n", ""), ("\n", " a  b"), ("\n", "\tx y"), ("\n", " é")):
+        parts = []
+        for k in range(60):
+            n = rng.randrange(0, 30)
+            parts.append(f"@r{k}{extra}{ends}{'ACGT' * n}{ends}+r{k}{ends}{'@+I~' * n}{ends}")
+        text = "".join(parts)
+        for last in (text, text.rstrip("\r\n") if not text.endswith("\n\n") else text, text + "\n\n"):
+            path = write(files["top"], "blocks.fq", last.encode("latin-1"))
+            want = [("r%d" % k, p) for k, p in enumerate(parts)]
+            found = []
+            for size in (64, 1 << 20):
+                monkeypatch.setattr(reader, "BATCH_BYTES", size)
+                for split in (97, 1 << 30):
+                    got = []
+                    cuts = list(range(0, len(last.encode("latin-1")), split))
+                    for a, z in zip(cuts, [*cuts[1:], None], strict=True):
+                        r = reader._Range(0, path, "x", "FASTQ", a, z, False)
+                        for batch in reader.ReadsReader({"inputs": "[]"}).read(r):
+                            got += batch.to_pylist()
+                    found.append([(g["ord"], g["id"], g["desc"], g["seq"], g["qual"]) for g in got])
+            assert all(f == found[0] for f in found) and [f[1] for f in found[0]] == [w[0] for w in want]
+            assert all(f[2] == (extra.strip() or None) for f in found[0])
+
+
 def test_fasta_and_bam(spark, files):
     assert rows(read_reads(spark, files["fa"])) == [("seq1", "first sequence", "ACGTACGTACGT", None), ("seq2", None, "GGGGCCCCAAAATTTT", None), ("seq3", None, "ACGTNNNNACGT", None)]
     assert rows(read_reads(spark, files["bam"])) == [(n, None, s, chr(q + 33) * len(s)) for n, s, q in BAM_READS]
