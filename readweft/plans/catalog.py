@@ -191,7 +191,19 @@ def _(df):
     return _cut(O.filter_reads(df, headcrop=10, tailcrop=20))
 
 
-@_query("trim_quality")
+# The best segment as a fold: k places seen, best [bs, be) with sum b, the open one from cs with sum c; g is a place's gain.
+_STATE = "{'k': 0, 'bs': 0, 'be': 0, 'b': 0.0::DOUBLE, 'cs': 0, 'c': 0.0::DOUBLE, 'g': %s}"
+_GAINS = f"list_transform(string_split(q, ''), lambda ch: {_STATE % 'pow(10.0, -12.0 / 10.0) - pow(10.0, -greatest(ascii(ch) - 33, 0) / 10.0)'})"
+_CS, _C = "(CASE WHEN acc.c < 0 THEN acc.k ELSE acc.cs END)", "((CASE WHEN acc.c < 0 THEN 0.0 ELSE acc.c END) + el.g)"
+_BEST = f"(acc.be = 0 OR {_C} > acc.b OR ({_C} = acc.b AND acc.k + 1 - {_CS} > acc.be - acc.bs))"
+_FOLD = f"""list_reduce({_GAINS}, lambda acc, el: {{'k': acc.k + 1, 'bs': CASE WHEN {_BEST} THEN {_CS} ELSE acc.bs END, 'be': CASE WHEN {_BEST} THEN acc.k + 1 ELSE acc.be END,
+  'b': CASE WHEN {_BEST} THEN {_C} ELSE acc.b END, 'cs': {_CS}, 'c': {_C}, 'g': el.g}}, {_STATE % '0.0::DOUBLE'})"""
+_trimmed = f"""SELECT ord, length(y)::BIGINT AS len, md5(y) AS seq_md5, md5(coalesce(z, '')) AS qual_md5 FROM (
+  SELECT ord, CASE WHEN q IS NULL THEN x ELSE substr(x, f.bs + 1, f.be - f.bs) END AS y, CASE WHEN q IS NULL THEN NULL ELSE substr(q, f.bs + 1, f.be - f.bs) END AS z FROM (
+    SELECT ord, x, q, CASE WHEN q IS NULL THEN NULL ELSE {_FOLD} END AS f FROM (SELECT ord, substr(seq, 6) AS x, substr(qual, 6) AS q FROM reads WHERE length(seq) > 5))) WHERE length(y) > 0"""
+
+
+@_query("trim_quality", _trimmed)
 def _(df):
     return _cut(O.filter_reads(df, trim=12.0, headcrop=5))
 
