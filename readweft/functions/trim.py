@@ -35,4 +35,5 @@ def mott_segment(qual: Column | str, cutoff: float) -> Column:
         ends = np.array(found, np.int32).reshape(-1, 2)
         return pa.StructArray.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["start", "stop"], mask=q.is_null())
 
-    return segment(qual)
+    # else a filter on the trimmed read would be pushed below and run the function a second time
+    return segment.asNondeterministic()(qual)

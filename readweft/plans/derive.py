@@ -14,6 +14,9 @@ BASES, MARKS = "ACGTACGTACGTACGTGCATGCATNA", "!5?+#/:DBF%<@;=EHC>8I9G6AJ"
 def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """German documents become RNA, Spanish ones lower case, French ones have no quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a small table in one row group is one task: deal its rows out before the work
+        docs = docs.repartition(cores, "doc_id")
     t = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     bases = F.translate(t, LETTERS, BASES)
     seq = F.when(F.col("lang") == "de", F.translate(bases, "T", "U")).when(F.col("lang") == "es", F.lower(bases)).otherwise(bases)
