@@ -61,7 +61,6 @@ def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star (Kiveris et al., 2014). Every step is an aggregate to one minimum a
     node and an equi-join with it, so that a node with very many edges is no group that one task must hold.
     """
-    spark = edges.sparkSession
     now = written(
         edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), folder, "edges"
     )  # u < v
