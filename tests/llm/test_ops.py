@@ -381,6 +381,42 @@ def test_chains():
         assert tree.upto(q) == max((v for r, v in best.items() if r <= q), default=(-1e18, -1))
 
 
+def test_chains_are_cut(spark):
+    """Passages in the same order in both texts, with other words between them, have a row each."""
+    rng = random.Random(14)
+    own = lambda n: prose(rng, n, 10**6)
+    texts, want = [], []
+    for gap, other in ((60, 60), (100, 200), (200, 200), (400, 300)):
+        a, b, at = own(60), own(60), len(texts)
+        texts += [f"{a} {own(gap)} {b}", f"{own(9)} {a} {own(other)} {b}"]
+        want += [(at + 1, 9, 69, at, 0, 60, 60), (at + 1, 69 + other, 129 + other, at, 60 + gap, 120 + gap, 60)]
+    assert sorted(map(tuple, op8.repeated_passages(docs_of(spark, texts)).collect())) == want
+
+
+def test_segments_are_whole():
+    """Every stretch of 50 words from an equal one to an equal one, 80 % of them equal, shares words with a passage of a random
+    alignment, and all passages are such."""
+    rng = random.Random(15)
+    for _ in range(300):
+        runs = []
+        for _ in range(rng.randrange(1, 12)):
+            n = rng.choice([1, 3, 8, 30, 60])
+            runs += [(n, n, n), rng.choice([(1, 1, 0), (0, 2, 0), (3, 0, 0), (9, 7, 0), (20, 20, 0)])]
+        got = op8.segments(runs)
+        edges, x, y, e = [], 0, 0, 0
+        for a, b, same in runs:
+            edges.append((x, y, e))
+            x, y, e = x + a, y + b, e + same
+        edges.append((x, y, e))
+        alike = lambda long, ref, same: long >= 50 and same >= 0.8 * max(long, ref)
+        assert all(alike(z - a, rz - ra, same) for a, ra, z, rz, same in got)
+        assert all(p[2] <= q[0] for p, q in zip(got, got[1:], strict=False))
+        for i, s in list(enumerate(edges))[:-1:2]:
+            for t in edges[i + 1 :: 2]:
+                if alike(t[0] - s[0], t[1] - s[1], t[2] - s[2]):
+                    assert any(a < t[0] and s[0] < z for a, _, z, _, _ in got)
+
+
 def test_passages(spark):
     rng = random.Random(13)
     own = lambda n: prose(rng, n, 10**6)
