@@ -92,9 +92,10 @@ def pseudonym(hit: Column, key: str = KEY) -> Column:
     """The pseudonym of a match of ANY, or the match itself where it is not valid.
 
     Cards: 13 to 19 digits whose Luhn sum is right; the digits before the check digit are permuted and the check digit
-    follows. US phones: area and exchange from 200. SSN: area 001-899 but 666, group and serial not 0. IPv4: octets to
-    255 without leading zeros. Dates: real ones from 1800 to 2199, one permutation of days for all formats. Email: the
-    name before @ becomes a keyed one; the domain stays. 40 hex digits in a quote or after = become others.
+    follows. Phones: all of the format; those with area and exchange from 200 are permuted among themselves, the others too.
+    SSN: area 001-899 but 666, group and serial not 0. IPv4: octets to 255 without leading zeros. Dates: real ones from
+    1800 to 2199, one permutation of days for all formats. Email: the name before @ becomes a keyed one; the domain stays.
+    40 hex digits in a quote or after = become others.
     """
     digits = F.regexp_replace(hit, "[^0-9]", "")
     n = F.length(digits)
@@ -106,10 +107,21 @@ def pseudonym(hit: Column, key: str = KEY) -> Column:
 
     ten = F.substring(digits, n - 9, F.lit(10))
     area, exchange, line = (F.substring(ten, F.lit(i), F.lit(k)).cast("long") for i, k in ((1, 3), (4, 3), (7, 4)))
-    phone_ok = ((n == 10) | (n == 11) & (F.substring(digits, F.lit(1), F.lit(1)) == "1")) & (area >= 200) & (exchange >= 200)
-    p = permuted("phone", key, ((area - 200) * 800 + exchange - 200) * 10000 + line, 80000, 80000)
-    front = _div(p, 10000)
-    told = F.concat((_div(front, 800) + 200).cast("string"), (F.pmod(front, F.lit(800)) + 200).cast("string"), _pad(F.pmod(p, F.lit(10000)), 4))
+    phone_ok = (n == 10) | (n == 11) & (F.substring(digits, F.lit(1), F.lit(1)) == "1")
+    # 800 exchanges in each of 800 areas, and all other fronts: 1000 in each of 200 areas, then 200 in each of 800
+    dialled = (area >= 200) & (exchange >= 200)
+    front = F.when(dialled, (area - 200) * 800 + exchange - 200).when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    side = F.when(dialled, F.lit(80000)).otherwise(F.lit(60000)).cast("long")
+
+    def told_front(f: Column) -> Column:
+        rest = F.greatest(f - 200_000, F.lit(0).cast("long"))
+        return (
+            F.when(dialled, (_div(f, 800) + 200) * 1000 + F.pmod(f, F.lit(800)) + 200)
+            .when(f < 200_000, f).otherwise((_div(rest, 200) + 200) * 1000 + F.pmod(rest, F.lit(200)))
+        )
+
+    moved_phone = F.transform(F.array(permuted("phone", key, front * 10000 + line, side, side)), lambda p: F.struct(_div(p, 10000).alias("f"), F.pmod(p, F.lit(10000)).alias("line")))
+    told = F.transform(moved_phone, lambda x: F.concat(_pad(told_front(x["f"]), 6), _pad(x["line"], 4)))[0]
     phone = _refilled(hit, F.concat(F.when(n == 11, "1").otherwise(""), told))
 
     s_area, group, serial = (F.substring(digits, F.lit(i), F.lit(k)).cast("long") for i, k in ((1, 3), (4, 2), (6, 4)))

@@ -492,6 +492,17 @@ def test_permutations(spark, values, fine):
     assert len(set(got)) == len(values) and all(map(fine, got)) and sum(a == b for a, b in zip(values, got, strict=True)) <= 2
 
 
+def test_phones_of_any_area(spark):
+    values = [f"+1 ({k * 37 % 1000:03d}) {k * 7 % 1000:03d}-{k * 13 % 10000:04d}" for k in range(1000)]
+    values += ["+1 (017) 555-7713", "000-000-0000", "199 999 9999", "999.199.9999", "(200) 000-0000", "1-200-200-0000"]
+    got = replaced(spark, values)
+    number = lambda x: re.sub("[^0-9]", "", x)[-10:]
+    dialled = lambda x: number(x)[0] >= "2" and number(x)[3] >= "2"
+    assert all(n == 1 for _, n in got) and len({number(x) for x, _ in got}) == len({number(x) for x in values})
+    for v, (x, _) in zip(values, got, strict=True):
+        assert v != x and re.sub("[0-9]", "0", v) == re.sub("[0-9]", "0", x) and dialled(v) == dialled(x)
+
+
 def test_feistel_is_a_permutation(spark):
     got = spark.range(7 * 11).select(op10.permuted("x", "k", F.col("id"), 7, 11)).collect()
     assert sorted(r[0] for r in got) == list(range(77))
