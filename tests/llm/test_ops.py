@@ -393,6 +393,23 @@ def test_chains_are_cut(spark):
     assert sorted(map(tuple, op8.repeated_passages(docs_of(spark, texts)).collect())) == want
 
 
+def pairs_with_rows(spark, texts):
+    return {(r.doc_id, r.ref_doc_id) for r in op8.repeated_passages(docs_of(spark, texts)).collect()}
+
+
+def test_parts_that_stand_alone(spark):
+    """A passage whose parts are in other texts too, before and after its own two."""
+    rng = random.Random(16)
+    own = lambda n: prose(rng, n, 10**6)
+    texts, want = [], set()
+    for sizes in ((30, 30), (40, 40), (20, 20, 20), (30, 30, 30)) * 5:
+        parts = [own(n) for n in sizes]
+        alone, at = [f"{own(20)} {p} {own(20)}" for p in parts], len(texts) + len(parts)
+        texts += [*alone, f"{own(40)} {' '.join(parts)} {own(9)}", f"{own(9)} {' '.join(parts)} {own(40)}", *alone]
+        want.add((at + 1, at))
+    assert want <= pairs_with_rows(spark, texts)
+
+
 def test_segments_are_whole():
     """Every stretch of 50 words from an equal one to an equal one, 80 % of them equal, shares words with a passage of a random
     alignment, and all passages are such."""
