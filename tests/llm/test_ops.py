@@ -410,6 +410,21 @@ def test_parts_that_stand_alone(spark):
     assert want <= pairs_with_rows(spark, texts)
 
 
+def test_worn_passages(spark):
+    """Passages with 10 % of their words replaced."""
+    rng = random.Random(17)
+    own = lambda n: prose(rng, n, 10**6).split(" ")
+    texts, want = [], set()
+    for n in (60, 100, 200) * 10:
+        passage = own(n)
+        worn = passage.copy()
+        for k in rng.sample(range(n), n // 10):
+            worn[k] = "changed"
+        want.add((len(texts) + 1, len(texts)))
+        texts += [" ".join(own(40) + passage + own(40)), " ".join(own(40) + worn + own(40))]
+    assert want <= pairs_with_rows(spark, texts)
+
+
 def test_segments_are_whole():
     """Every stretch of 50 words from an equal one to an equal one, 80 % of them equal, shares words with a passage of a random
     alignment, and all passages are such."""
