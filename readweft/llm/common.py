@@ -51,6 +51,15 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def one_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) with one row a key: the least value of keys that repeat. Where none does, which a look at the keys alone
+    tells, the rows are as they are and nothing else is shuffled."""
+    df = df.select(key, value)
+    if df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return df
+    return df.groupBy(key).agg(F.min(value).alias(value))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

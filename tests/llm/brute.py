@@ -56,3 +56,29 @@ def without_boilerplate(rows, ratio=0.05, least=5):
 def luhn(digits):
     d = [int(x) for x in digits][::-1]
     return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def check_passages(texts, rows, n=50):
+    """Asserts that rows say nothing false, cover every place but the first of each run of n words that repeats, and link all documents with it."""
+    own = [words(t.translate(FOLD)) for t in texts]
+    covered, top = {k: set() for k in range(len(own))}, list(range(len(own)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for r in rows:
+        a, b = own[r.doc_id][r.start_word : r.end_word], own[r.ref_doc_id][r.ref_start_word : r.ref_end_word]
+        assert len(a) == r.end_word - r.start_word >= n and len(b) == r.ref_end_word - r.ref_start_word
+        assert n <= 1.25 * r.n_equal and r.n_equal >= 0.8 * max(len(a), len(b)) and (r.n_equal < len(a) or a == b)
+        assert (r.ref_doc_id, r.ref_start_word) < (r.doc_id, r.start_word)
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+        top[find(r.doc_id)] = find(r.ref_doc_id)
+    places = {}
+    for d, w in enumerate(own):
+        for k in range(len(w) - n + 1):
+            places.setdefault(tuple(w[k : k + n]), []).append((d, k))
+    for found in places.values():
+        for d, k in found[1:]:
+            assert covered[d].issuperset(range(k, k + n)) and find(d) == find(found[0][0]), (found[0], d, k)

@@ -465,7 +465,7 @@ def test_passages(spark):
     got = {}
     for r in op8.repeated_passages(df).collect():
         got.setdefault(r.doc_id, []).append(tuple(r)[1:])
-    assert sorted(got[at + 1]) == [(0, 70, at, 30, 100, 70), (0, 70, at + 2, 5, 75, 70)]
+    assert got[at + 1] == [(0, 70, at, 30, 100, 70)]  # rows lead to earlier places only
     assert got[at + 2] == [(5, 75, at, 30, 100, 70)]
     (s, e, ref, rs, re_, n), = got[at + 4]
     assert (s, e, ref, rs, re_) == (10, 131, at + 3, 50, 170) and n == 117
@@ -473,6 +473,38 @@ def test_passages(spark):
     assert op8.repeated_passages(df.limit(0)).isEmpty()
 
 
+def test_every_exact_run_is_covered(spark):
+    """Against all runs of 50 words: pieces of a pool in any order, also alone, twice in one text, in circles, and of one word."""
+    rng = random.Random(18)
+    pool = [prose(rng, rng.choice([20, 45, 48, 50, 51, 70, 120]), 10**6) for _ in range(25)] + ["la " * 70, "do re mi fa " * 40, prose(rng, 9, 10**6) + " "]
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            piece = rng.choice(pool).split()
+            cut = rng.choice([0, 0, 0, rng.randrange(len(piece))])
+            parts += piece[cut : rng.choice([len(piece), len(piece), cut + 46])] * rng.choice([1, 1, 1, 9])
+            parts += prose(rng, rng.choice([0, 0, 3, 30]), 10**6).split()
+        texts.append(" ".join(parts))
+    passage = prose(rng, 120, 10**6).split()  # pieces of 45 words that overlap stand alone before and after the two texts with all of it
+    alone = [" ".join(passage[k : k + 45]) + " " + prose(rng, 30, 10**6) for k in range(0, 76, 5)]
+    at = len(texts) + len(alone)
+    texts += [*alone, " ".join(passage), *alone, prose(rng, 20, 10**6) + " " + " ".join(passage), *alone]
+    texts += [prose(rng, 60, 10**6) + " " + " ".join(passage[:80] + ["x"] + passage[:80])]
+    rows = op8.repeated_passages(docs_of(spark, texts)).collect()
+    assert any(r.doc_id == at + len(alone) + 1 and r.ref_doc_id == at for r in rows)
+    brute.check_passages(texts, rows)
+
+
+def test_passages_of_repeated_ids(spark):
+    """Of rows that repeat an id the least text counts; rows that repeat as a whole count once."""
+    rng = random.Random(19)
+    a, b = prose(rng, 80, 10**6), prose(rng, 80, 10**6)
+    rows = [(1, "b " + a), (1, "a " + b), (1, "a " + b), (2, a), (2, a), (3, b), (None, b), (None, b)]
+    got = op8.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(3, 0, 80, 1, 1, 81, 80)]
+
+
 # 9
 
 
