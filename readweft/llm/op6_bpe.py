@@ -3,11 +3,14 @@
 The automaton reads tokens. Its states are the last token read (and the start); at first it has the 256 byte tokens,
 every one allowed after every other. The gadget of a merge (u, v) -> w takes the v arc from the state of u, so that
 "u v" can no longer be read; it adds a w arc to every state that has the u arc at that time, leading to a new state
-that is a copy of the state of v at that time. After the last merge the automaton accepts exactly the token sequences
-that BPE makes (Berglund, Martens and van der Merwe, 2024), and each word has one accepted path.
-
-Arcs are not stored one by one (there would be 50,000 x 50,000): a state is kept as what it was copied from and the
-arcs that were taken from it since, with the time of each; whether an arc exists follows from these tables.
+that is a copy of the state of v at that time. A merge whose u has no v arc any more changes nothing. After the last
+merge the automaton accepts exactly the token sequences that BPE makes (Berglund, Martens and van der Merwe, 2024), and
+each word has one accepted path.
+
+Its table is compiled as a row for each state: the row that it was copied from, at which merge, and the arcs taken from
+it since (explicit rows would have 50,000 x 50,000 arcs). Which arcs spell the bytes just read is a second table, of
+moves from byte to byte (Aho and Corasick, 1975). A word is encoded in one pass over its bytes by these two tables: the
+state reached after each byte is the one arc that ends there and that the state at its start has. No byte is read twice.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import small_batches, table
 
@@ -43,30 +47,28 @@ class Automaton:
 
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], base: dict[int, int]):
         """labels: bytes of each id; merges: (u, v, w) in order; base: byte -> id."""
-        self.labels = labels
-        n = len(labels)
-        self.left, self.copied, self.born = [-1] * n, [-1] * n, [0] * n
-        self.taken: dict[int, int] = {}  # (state, arc) -> when the arc was taken
-        self.n = n
-        self.arcs: dict[bytes, int] = {bytes([b]): t for b, t in base.items()}
-        for when, merge in enumerate(merges, 1):
-            self._gadget(when, *merge)
-        self.lengths = [len(x) for x in labels]
-        self.reach: dict[bytes, int] = {}  # the longest arc by its first four bytes, or by all it has
-        for x in self.arcs:
-            for k in range(1, min(len(x), 4) + 1):
-                longest = min(len(x), 4) if k < 4 else len(x)
-                if longest > self.reach.get(x[:k], 0):
-                    self.reach[x[:k]] = longest
+        self.n = n = len(labels)
+        # the rows: the state copied and the merge that did it, the arcs taken since and the merge that did it
+        self.copied, self.born = [-1] * n, [0] * n
+        self.taken: dict[int, int] = {}
+        self.left = [-1] * n  # an arc is added to the states that have the arc of its left part
+        self.start: dict[bytes, int] = {bytes([b]): t for b, t in base.items()}  # the start's row: no arc is ever taken from it
+        idle = []
+        for when, (u, v, w) in enumerate(merges, 1):
+            if labels[u] in self.start and labels[v] in self.start and labels[w] not in self.start and self.has(u, v, when - 1):
+                self.taken[u * n + v] = when
+                self.left[w], self.copied[w], self.born[w] = u, v, when
+                self.start[labels[w]] = w
+            else:
+                idle.append((when, u, v))
+        if any(max(self.born[u], self.born[v]) > when for when, u, v in idle):
+            raise ValueError("merges are out of order: one uses a token that a later one makes")
+        self.merges = len(merges)
         self._known: dict[int, bool] = {}
-
-    def _gadget(self, when: int, u: int, v: int, w: int) -> None:
-        self.taken[u * self.n + v] = when
-        self.left[w], self.copied[w], self.born[w] = u, v, when
-        self.arcs[self.labels[w]] = w
+        self._compile_moves()
 
     def has(self, state: int, arc: int, when: int) -> bool:
-        """Whether the state has the arc right after the merge number when."""
+        """Whether the state's row has the arc right after the merge number when."""
         while True:
             if self.taken.get(state * self.n + arc, when + 1) <= when:
                 return False
@@ -80,50 +82,77 @@ class Automaton:
             else:  # as it was when the state was copied
                 when, state = of_state - 1, self.copied[state]
 
+    def _compile_moves(self) -> None:
+        """Nodes are the prefixes of arc labels. moves: node * 256 + byte -> node of the longest suffix that is a prefix of
+        a label; ends: the longest arc that a node ends with; shorter: the next shorter one that an arc ends with."""
+        child: dict[int, int] = {}
+        back, arc_at, order = [0], [-1], [(0, 0, 0)]
+        for label, arc in self.start.items():
+            node = 0
+            for b in label:
+                key = node << 8 | b
+                if (to := child.get(key)) is None:
+                    to = child[key] = len(back)
+                    back.append(0)
+                    arc_at.append(-1)
+                    order.append((node, b, to))
+                node = to
+            arc_at[node] = arc
+        depth = [0] * len(back)
+        for parent, _, node in order[1:]:
+            depth[node] = depth[parent] + 1
+        self.ends, self.shorter = arc_at[:], {}
+        for parent, b, node in sorted(order[1:], key=lambda x: depth[x[2]]):
+            at = back[parent]
+            while parent and (at << 8 | b) not in child and at:
+                at = back[at]
+            back[node] = child.get(at << 8 | b, 0) if parent else 0
+            if arc_at[node] >= 0:
+                self.shorter[arc_at[node]] = self.ends[back[node]]
+            else:
+                self.ends[node] = self.ends[back[node]]
+        self.moves, self._back = child, back
+        self.lengths = {arc: len(label) for label, arc in self.start.items()}
+
+    def move(self, node: int, byte: int) -> int:
+        """The move, entered into the table where the trie has none."""
+        at = node
+        while at and (at << 8 | byte) not in self.moves:
+            at = self._back[at]
+        to = self.moves.get(at << 8 | byte, 0)
+        if len(self.moves) < 8 * CACHE:
+            self.moves[node << 8 | byte] = to
+        return to
+
     def step(self, state: int, arc: int) -> bool:
-        key = state * self.n + arc
-        known = self._known.get(key)
-        if known is None:
-            if len(self._known) > 2 * CACHE:
-                self._known.clear()
-            known = self._known[key] = self.has(state, arc, len(self.taken))
+        """Whether the state has the arc, entered into the table of known ones."""
+        if len(self._known) > 2 * CACHE:
+            self._known.clear()
+        known = self._known[state * self.n + arc] = self.has(state, arc, self.merges)
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        """The arcs of the only accepted path that spells the word.
-
-        Goes on from the last state along the longest arc that the rest of the word spells and the state has, and back
-        where there is none. Each prefix of a word has one path, so that an end that failed fails for good and every
-        end is left at most once.
-        """
-        arcs, n = self.arcs, len(word)
-        if (whole := arcs.get(word)) is not None:
+        """The arcs of the only accepted path that spells the word."""
+        if (whole := self.start.get(word)) is not None:  # an arc of the start
             return [whole]
-        known, width, lengths, reach = self._known, self.n, self.lengths, self.reach
-        path: list[int] = []
-        dead = bytearray(n + 1)
-        at, last = 0, -1
-        stop = min(n, at + (reach.get(word[:4]) or 3))
-        while at < n:
-            while stop > at:
-                arc = arcs.get(word[at:stop])
-                if arc is not None and not dead[stop]:
-                    if last < 0:
-                        break
-                    has = known.get(last * width + arc)
-                    if has or has is None and self.step(last, arc):
-                        break
-                stop -= 1
-            if stop > at:
-                path.append(arc)
-                last, at = arc, stop
-                stop = min(n, at + (reach.get(word[at : at + 4]) or 3))
-            else:
-                dead[at] = 1
-                stop = at - 1
-                at -= lengths[path.pop()]
-                last = path[-1] if path else -1
-        return path
+        moves, ends, shorter, lengths, known, width = self.moves, self.ends, self.shorter, self.lengths, self._known, self.n
+        reached, node = [-1], 0
+        for i, b in enumerate(word, 1):
+            to = moves.get(node << 8 | b)
+            node = self.move(node, b) if to is None else to
+            arc = ends[node]
+            while (at := i - lengths[arc]) > 0:
+                state = reached[at]
+                has = known.get(state * width + arc)
+                if has or has is None and self.step(state, arc):
+                    break
+                arc = shorter[arc]
+            reached.append(arc)
+        path, at = [], len(word)
+        while at:
+            path.append(reached[at])
+            at -= lengths[reached[at]]
+        return path[::-1]
 
 
 def _class(major: str) -> str:
@@ -223,9 +252,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """Every row of docs with its columns and _ids: array<int>. A null text counts as empty and has no ids."""
-    path, docs = path or default_path(), docs.drop("_ids")
+def encoded(docs: DataFrame, path: str | None = None, text: str = "text", into: str = "_ids") -> DataFrame:
+    """Every row of docs with its columns and into: array<int>, which takes the place of a column of that name.
+
+    A null text counts as empty and has no ids; texts of any length are read whole; repeated rows stay; an empty table
+    gives an empty one."""
+    path, own = path or default_path(), [c for c in docs.columns if c.lower() != into.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -235,16 +267,16 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
                 packed = [t.encode_packed(x or "") for x in part.column(text).to_pylist()]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "_ids"])
-
-    from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), ids], [*own, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in own), T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
-def decoded(rows: DataFrame, ids: str = "_ids", path: str | None = None) -> DataFrame:
-    """Every row with its columns and _decoded: string."""
-    path, rows = path or default_path(), rows.drop("_decoded")
+def decoded(rows: DataFrame, ids: str = "_ids", path: str | None = None, into: str = "_decoded") -> DataFrame:
+    """Every row with its columns and into: string, which takes the place of a column of that name. Null ids count as none;
+    bytes that are no UTF-8 become U+FFFD."""
+    path, own = path or default_path(), [c for c in rows.columns if c.lower() != into.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -252,17 +284,18 @@ def decoded(rows: DataFrame, ids: str = "_ids", path: str | None = None) -> Data
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 texts = pa.array([t.decode(x or ()) for x in part.column(ids).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "_decoded"])
-
-    from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), texts], [*own, into])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_decoded", T.StringType())]))
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in own), T.StructField(into, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded and decoded in the worker, so that
-    ids and texts are never shuffled or kept."""
+    ids and texts are never shuffled or kept. A null text counts as empty; long texts are read whole; repeated rows each
+    have theirs; other columns are not read."""
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -280,7 +313,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256 of each row: the last stage of a pipeline."""
+    """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256 of each row: the last stage of a pipeline. Nulls, long
+    texts and repeated rows as for digests(); columns of docs other than these and text are dropped, whatever their names."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
