@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import boxed, table, unboxed
 
-KEY = "pseudonym-key-1"
+#: The query's key. Whoever has a key can undo the permutations: give pseudonymised() one of your own, from a secret store.
+QUERY_KEY = "pseudonym-key-1"
 ROUNDS = 8
 #: What may stand before and after a number: nothing that would go on with it.
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z_.+-])", r"(?![0-9A-Za-z_]|[.-][0-9])"
@@ -15,12 +16,17 @@ EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){
 PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-CARD = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19}"
+CARD = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19}"
+#: The first two digits and the lengths of card numbers that issuers use.
+ISSUED = r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[0689][0-9]{12}|35[0-9]{14}|(?:5[06-9]|6[0-9])[0-9]{11,17})$"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
 SECRET = r"(?<=[\"'=: ])[0-9a-f]{40}(?=[\"' ,;]|$)"
-ANY = f"(?<![A-Za-z0-9._%+-]){EMAIL}|{SECRET}|{_LEFT}(?:{IPV4}|{SSN}|{DATE}|{PHONE}|{CARD}){_RIGHT}"
-#: A quick look before ANY: two digits in a row, or an @.
-HINT = r"[0-9][0-9.]?[0-9]|@"
+#: A date may also stand before a time.
+STAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?=[Tt_][0-9]{2}:)"
+ANY = f"(?<![A-Za-z0-9._%+-]){EMAIL}|{SECRET}|{_LEFT}(?:(?:{IPV4}|{SSN}|{DATE}|{PHONE}|{CARD}){_RIGHT}|{STAMP})"
+#: A quick look before ANY. Every match of ANY has one of these: an email an @, a secret 40 hex digits, all others two digits
+#: in a row or with a dot between them. Texts without any are not searched.
+HINT = r"[0-9][0-9.]?[0-9]|@|[0-9a-f]{40}"
 #: Fixed value: the days of the 400 years from 1800-01-01 that dates are permuted in, 773 * 189.
 DAYS = (773, 189)
 
@@ -88,21 +94,21 @@ def _pow10(k: Column) -> Column:
     return F.rpad(F.lit("1"), k + 1, "0").cast("long")
 
 
-def pseudonym(hit: Column, key: str = KEY) -> Column:
+def pseudonym(hit: Column, key: str) -> Column:
     """The pseudonym of a match of ANY, or the match itself where it is not valid.
 
-    Cards: 13 to 19 digits whose Luhn sum is right; the digits before the check digit are permuted and the check digit
-    follows. Phones: all of the format; those with area and exchange from 200 are permuted among themselves, the others too.
+    Cards: 13 to 19 digits that begin as an issuer's (ISSUED) and whose Luhn sum is right; the first two digits stay, those
+    before the check digit are permuted and the check digit follows. Phones: all of the format; those with area and exchange from 200 are permuted among themselves, the others too.
     SSN: area 001-899 but 666, group and serial not 0. IPv4: octets to 255 without leading zeros. Dates: real ones from
-    1800 to 2199, one permutation of days for all formats. Email: the name before @ becomes a keyed one; the domain stays.
-    40 hex digits in a quote or after = become others.
+    1800 to 2199, one permutation of days for all formats. Email: the name before @ becomes u and 128 bits of a keyed hash;
+    the domain stays. 40 hex digits in a quote or after = become others, 160 bits of a keyed hash.
     """
     digits = F.regexp_replace(hit, "[^0-9]", "")
     n = F.length(digits)
-    card_ok = n.between(13, 19) & (luhn_sum(digits, 1) % 10 == 0)
-    payload = F.substring(digits, F.lit(1), n - 1)
-    half = F.floor((n - 1) / 2).cast("int")
-    moved = _pad(permuted("card", key, payload.cast("long"), _pow10(half), _pow10(n - 1 - half)), n - 1)
+    card_ok = digits.rlike(ISSUED) & (luhn_sum(digits, 1) % 10 == 0)
+    payload = F.substring(digits, F.lit(3), n - 3)
+    half = F.floor((n - 3) / 2).cast("int")
+    moved = F.concat(F.substring(digits, 1, 2), _pad(permuted("card", key, payload.cast("long"), _pow10(half), _pow10(n - 3 - half)), n - 3))
     card = _refilled(hit, F.concat(moved, F.pmod(10 - luhn_sum(moved, 0) % 10, F.lit(10)).cast("string")))
 
     ten = F.substring(digits, n - 9, F.lit(10))
@@ -147,7 +153,7 @@ def pseudonym(hit: Column, key: str = KEY) -> Column:
     y, m, d = (F.substring(new, F.lit(i), F.lit(k)) for i, k in ((1, 4), (6, 2), (9, 2)))
     date = F.when(kind == "yyyy-MM-dd", new).when(kind == "dd.MM.yyyy", F.concat_ws(".", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
 
-    name = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}:email:"), F.lower(hit)), 256), 1, 12))
+    name = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}:email:"), F.lower(hit)), 256), 1, 32))
     email = F.concat(name, F.regexp_extract(hit, "(@.*)$", 1))
     secret = F.substring(F.sha2(F.concat(F.lit(f"{key}:secret:"), hit), 256), 1, 40)
 
@@ -164,11 +170,13 @@ def pseudonym(hit: Column, key: str = KEY) -> Column:
     return F.coalesce(out, hit)
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every row of docs with its columns, _text: with pseudonyms, and _found: how many values were replaced.
 
     Null text stays null, empty text empty (both with 0 found). What is not valid stays as it is. The same value gets
-    the same pseudonym in every row, and different values of a kind get different ones.
+    the same pseudonym in every row, repeated ones too. Different numbers and dates of a kind get different ones, always;
+    different emails and secrets do but for equal hashes of 128 and 160 bits. Long texts are searched whole. Columns of the
+    names _text and _found are replaced, all others stay; no id is read, and an empty table gives an empty one.
     """
     rows = boxed(docs, t=F.col(text))
     rows = rows.withColumn("hits", F.when(F.col("t").rlike(HINT), F.regexp_extract_all("t", F.lit(ANY), F.lit(0))))
@@ -182,4 +190,4 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFr
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in place of personal numbers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymised(docs).select("doc_id", F.col("_found").alias("n_replaced"), F.col("_text").alias("text"))
+    return pseudonymised(docs, QUERY_KEY).select("doc_id", F.col("_found").alias("n_replaced"), F.col("_text").alias("text"))

@@ -529,7 +529,7 @@ def test_lines(spark):
 
 
 def replaced(spark, texts):
-    return [tuple(r) for r in op10.pseudonymised(spark.createDataFrame([(t,) for t in texts], "text string")).select("_text", "_found").collect()]
+    return [tuple(r) for r in op10.pseudonymised(spark.createDataFrame([(t,) for t in texts], "text string"), "k").select("_text", "_found").collect()]
 
 
 def cards(n):
@@ -585,10 +585,41 @@ def test_pii(spark):
     y, m, d = a.split("-")
     assert n == 3 and b == f"{d}.{m}.{y}" and c == f"{m}/{d}/{y}" and a != "2023-02-28"
     (mail, n), = replaced(spark, ["Write to jo.doe-1@mail2.example.com."])
-    assert n == 1 and re.fullmatch(r"Write to u[0-9a-f]{12}@mail2\.example\.com\.", mail)
+    assert n == 1 and re.fullmatch(r"Write to u[0-9a-f]{32}@mail2\.example\.com\.", mail)
     df = clashing(docs_of(spark, [*ODD, card]))
-    out = op10.pseudonymised(df)
-    assert kept_columns(out, {"_text"}) and [r._text for r in out.orderBy("doc_id").collect()] == [*ODD, new] and op10.pseudonymised(df.limit(0)).isEmpty()
+    out = op10.pseudonymised(df, "k")
+    assert kept_columns(out, {"_text"}) and [r._text for r in out.orderBy("doc_id").collect()] == [*ODD, new] and op10.pseudonymised(df.limit(0), "k").isEmpty()
+
+
+def test_pii_against_a_plain_version(spark):
+    """Every kind at random, valid or not, in every surrounding; and what each kind looks like at its edges."""
+    rng = random.Random(20)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    issued = ["4", "51", "27", "34", "36", "35", "62", "50"]
+
+    def card():
+        body = rng.choice([*issued, digits(2)]) + digits(rng.randrange(10, 17))
+        body += rng.choice([str(-sum(sum(divmod(int(c) * (2 - k % 2), 10)) for k, c in enumerate(body[::-1])) % 10), digits(1)])
+        cut = rng.choice([(4, 4, 4, 9), (4, 6, 5, 0), (99, 0, 0, 0)])
+        at, parts = 0, []
+        for n in cut:
+            parts.append(body[at : at + n])
+            at += n
+        return rng.choice(" -").join(x for x in parts if x)
+
+    kinds = [
+        card, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"{rng.choice(['19', '20', '17'])}{digits(2)}-{rng.randrange(14):02d}-{rng.randrange(33):02d}",
+        lambda: f"{rng.randrange(33):02d}.{rng.randrange(14):02d}.19{digits(2)}", lambda: f"{rng.randrange(14):02d}/{rng.randrange(33):02d}/20{digits(2)}",
+        lambda: f"{rng.choice(['a.b', 'Jo', 'x+y'])}{digits(1)}@{rng.choice(['mail', 'x-y.z'])}.{rng.choice(['org', 'co', 'x'])}",
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([39, 40, 40, 40, 41]))), lambda: digits(rng.randrange(1, 30)), lambda: "word",
+    ]
+    around = [" ", " ", ", ", "\n", ": ", "='", "' ", '"', ".", "-", "_", "(", ")", "T10:00:00Z ", "é", "x"]
+    texts = ["".join(rng.choice(kinds)() + rng.choice(around) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    texts += [f'key="{"deadbeef" * 5}"', f"token='{'abcdefabcd' * 4}' 11", "2024-05-01T10:00:00Z", "3782-822463-10005", "3782 822463 10005 x", "1234567890128", "4222222222222", "a@b.co", "1.2.3.4"]
+    want = [brute.pseudonymised(t, "k") for t in texts]
+    assert replaced(spark, texts) == want
+    assert [n for _, n in want[-9:]] == [1, 1, 1, 1, 1, 0, 1, 1, 1] and sum(n for _, n in want) > 3000
 
 
 def test_schema_of_results(spark, tmp_path):
