@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -221,13 +222,12 @@ def calibrated(x: np.ndarray, good: np.ndarray, seed: int = 7) -> Forest | None:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """(text, quality): the bounded sample of labelled rows, by hash of the id; a null quality counts as no label."""
-    picked = (
-        labels.where("quality is not null and doc_id is not null")
-        .select("doc_id", "quality")
-        .orderBy(F.md5(F.col("doc_id").cast("string")), "quality")
-        .limit(limit)
-    )
+    """(doc_id, text, quality): the labelled rows of the limit labels of docs with the smallest hashes of their ids.
+
+    Labels without a quality or a document do not count, those that repeat count once; the bound is on labels that have
+    a document. Only ids are shuffled to find them, and at most limit rows are broadcast."""
+    fine = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").distinct()
+    picked = fine.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.md5(F.col("doc_id").cast("string")), "quality").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
 
 
@@ -240,14 +240,20 @@ def _with_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Forest | None:
-    """The forest of the labelled rows among docs; None without a good one. At most limit rows of ten numbers reach the driver."""
+    """The forest of the labelled rows among docs; None, with a warning, without two good ones that the base rules keep:
+    these rules alone judge then. At most limit rows of ten numbers reach the driver: of documents that repeat an id those
+    with the least numbers."""
     small_batches(docs.sparkSession)
-    rows = labelled(docs, labels, limit).mapInArrow(_with_stats, "doc_id long, quality int, s array<long>").orderBy("doc_id", "s").limit(2 * limit).collect()
-    if not rows:
-        return None
-    s, good = np.array([r["s"] for r in rows], np.int64), np.array([r["quality"] > 0 for r in rows])
-    passed = ~base_failed(s)
-    return calibrated(features(s[passed]), good[passed])
+    found = labelled(docs, labels, limit).mapInArrow(_with_stats, "doc_id long, quality int, s array<long>")
+    rows = found.groupBy("doc_id", "quality").agg(F.min("s").alias("s")).orderBy("doc_id", "quality").collect()
+    forest = None
+    if rows:
+        s, good = np.array([r["s"] for r in rows], np.int64), np.array([r["quality"] > 0 for r in rows])
+        passed = ~base_failed(s)
+        forest = calibrated(features(s[passed]), good[passed])
+    if forest is None:
+        warnings.warn("too few labelled documents for a forest: the base rules alone judge", stacklevel=2)
+    return forest
 
 
 def verdicts(s: np.ndarray, forest: Forest | None) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +266,9 @@ def verdicts(s: np.ndarray, forest: Forest | None) -> tuple[np.ndarray, np.ndarr
 
 
 def judged(docs: DataFrame, forest: Forest | None) -> DataFrame:
-    """doc_id and its statistics and verdict, a row for each row of docs. Null and empty texts have no words and fail."""
+    """doc_id and its statistics and verdict, a row for each row of docs, repeated ones too. Null and empty texts have no
+    words and fail; long texts are read whole; null ids stay; a score that ties with the threshold is kept. Other columns
+    are not read, and an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -276,7 +284,8 @@ def judged(docs: DataFrame, forest: Forest | None) -> DataFrame:
 
 
 def kept(docs: DataFrame, forest: Forest | None, text: str = "text") -> DataFrame:
-    """The rows of docs that pass, all their columns as they are, whatever their names."""
+    """The rows of docs that pass, all their columns as they are, whatever their names; nulls, ties, repeated rows and long
+    texts as for judged()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
