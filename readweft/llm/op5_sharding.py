@@ -6,12 +6,14 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from .common import table, work_folder
+from .common import boxed, table, unboxed, work_folder
 
 #: Bytes of text of a full shard; runs whose shards have half of it on average are never merged again.
 TARGET = 64 << 20
@@ -19,6 +21,8 @@ TARGET = 64 << 20
 FAN = 4
 #: Bytes up to which shards are of the lowest tier, and bytes that one merge takes.
 LEAST, MOST = 1 << 20, 4 << 30
+#: Merges that run at the same time.
+AT_ONCE = 8
 #: Sizes of the query's arrivals, in 64ths of the table.
 WEIGHTS = (16, 4, 1, 1, 4, 1, 1, 16, 4, 4, 4, 4, 4)
 
@@ -30,9 +34,10 @@ class Conflict(RuntimeError):
 class Store:
     """A folder with data/ (immutable shards) and manifests/ (one JSON file a version).
 
-    A run is what one append or merge wrote: one or more shards. A version is committed by creating its manifest file
-    under a name of its own and renaming it to the version's, which fails if the version exists; readers see a version
-    whole or not at all, and files of jobs that failed belong to none.
+    A run is what one append or merge wrote: one or more shards. A version is committed by writing its manifest under a
+    name of its own and giving the file the version's name in one step that fails if the version exists (a hard link on
+    local file systems, FileContext.rename without overwriting elsewhere). Readers see a version whole or not at all, and
+    files of jobs that failed belong to none. Every version can be read until expire() takes it away.
     """
 
     def __init__(self, spark: SparkSession, folder: str, target: int = TARGET, fan: int = FAN, least: int = LEAST, most: int = MOST):
@@ -69,11 +74,38 @@ class Store:
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
         to = self.path(f"{self.folder}/manifests/v{new['version']:010d}.json")
-        if self.fs.exists(to) or not self.fs.rename(own, to):
+        try:
+            self._name(own, to)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception):
+                raise
+            raise Conflict(f"version {new['version']} exists") from None
+        finally:
             self.fs.delete(own, False)
-            raise Conflict(f"version {new['version']} exists")
         return new
 
+    def _name(self, own, to) -> None:
+        """Gives the file own the name to, in one step that fails if it exists."""
+        own, to = self.fs.makeQualified(own), self.fs.makeQualified(to)
+        if to.toUri().getScheme() == "file":
+            paths = self.jvm.java.nio.file.Paths
+            self.jvm.java.nio.file.Files.createLink(paths.get(to.toUri()), paths.get(own.toUri()))
+            return
+        hadoop = self.jvm.org.apache.hadoop.fs
+        none = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        hadoop.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(own, to, none)
+
+    def expire(self, keep: int = 1) -> None:
+        """Takes away all versions but the newest keep ones, and the data that only they have. Readers of these must be done."""
+        versions = self.versions()
+        old, new = versions[:-keep], versions[-keep:]
+        needed = {r["name"] for v in new for r in self.manifest(v)["runs"]}
+        gone = {r["name"] for v in old for r in self.manifest(v)["runs"]} - needed
+        for v in old:
+            self.fs.delete(self.path(f"{self.folder}/manifests/v{v:010d}.json"), False)
+        for name in sorted(gone):
+            self.fs.delete(self.path(f"{self.folder}/data/{name}"), True)
+
     # runs
 
     def shards(self, name: str) -> int:
@@ -101,67 +133,69 @@ class Store:
         run = {"name": name, "bytes": n_bytes, "rows": n_rows, "shards": self.shards(name)}
         return manifest | {"schema": schema.json(), "runs": [*manifest["runs"], run]}
 
-    def pick(self, manifest: dict) -> list[dict]:
-        """The runs to merge next: those of the lowest tier with fan shards, the oldest first, up to MOST bytes."""
+    def picks(self, manifest: dict) -> list[list[dict]]:
+        """The runs to merge next, in groups that share no run: those of one tier, the oldest first, with fan shards at least
+        and up to MOST bytes a group."""
         by: dict[int, list[dict]] = {}
         for r in manifest["runs"]:
             if (t := self.tier(r)) is not None:
                 by.setdefault(t, []).append(r)
+        groups: list[list[dict]] = []
         for t in sorted(by):
-            taken: list[dict] = []
+            made: list[list[dict]] = [[]]
             for r in by[t]:
-                if not taken or sum(x["bytes"] for x in taken) + r["bytes"] <= self.most:
-                    taken.append(r)
-            if sum(r["shards"] for r in taken) >= self.fan:
-                return taken
-        return []
+                if made[-1] and sum(x["bytes"] for x in made[-1]) + r["bytes"] > self.most:
+                    made.append([])
+                made[-1].append(r)
+            groups += [g for g in made if sum(r["shards"] for r in g) >= self.fan]
+        return groups
 
     def merge(self, runs: list[dict], manifest: dict) -> dict:
-        """A manifest in which one run of target-sized shards replaces runs; not committed yet.
+        """The run of target-sized shards that can replace runs; not committed yet.
 
         Small files are put together without a shuffle: the scan packs them into partitions, and these are put
-        together into as many tasks as there will be shards. A merge always leaves fewer shards, so that merging ends.
+        together into as many tasks as there will be shards, so that TARGET is the size of shards in the mean. A merge
+        always leaves fewer shards, so that merging ends.
         """
-        n_bytes, n_rows = sum(r["bytes"] for r in runs), sum(r["rows"] for r in runs)
-        name = uuid.uuid4().hex
+        n_bytes, name = sum(r["bytes"] for r in runs), uuid.uuid4().hex
         rows = self.spark.read.schema(self._schema(manifest)).parquet(*(f"{self.folder}/data/{r['name']}" for r in runs))
-        rows.coalesce(max(1, math.ceil(n_bytes / self.target))).write.parquet(f"{self.folder}/data/{name}")
-        gone = {r["name"] for r in runs}
-        # part files without rows are no shards
-        shards = min(self.shards(name), max(1, math.ceil(n_bytes / self.target)))
-        run = {"name": name, "bytes": n_bytes, "rows": n_rows, "shards": shards}
-        return manifest | {"runs": [*(r for r in manifest["runs"] if r["name"] not in gone), run]}
+        rows.coalesce(max(1, math.ceil(n_bytes / self.target))).write.option("maxRecordsPerFile", 0).parquet(f"{self.folder}/data/{name}")
+        return {"name": name, "bytes": n_bytes, "rows": sum(r["rows"] for r in runs), "shards": self.shards(name)}
 
     def compact(self) -> dict:
-        """Merges until no tier has fan shards; each merge is a version, and what it replaced is deleted after it."""
+        """Merges until no tier has fan shards; the merges of a round run side by side and are committed as one version."""
         now = self.manifest()
-        while runs := self.pick(now):
-            now = self.commit(self.merge(runs, now))
-            for r in runs:  # readers of older versions must be done
-                self.fs.delete(self.path(f"{self.folder}/data/{r['name']}"), True)
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            while groups := self.picks(now):
+                made = list(pool.map(lambda g, now=now: self.merge(g, now), groups))
+                gone = {r["name"] for g in groups for r in g}
+                now = self.commit(now | {"runs": [*(r for r in now["runs"] if r["name"] not in gone), *made]})
         return now
 
     @staticmethod
     def _schema(manifest: dict) -> StructType:
         return StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else StructType([])
 
-    def rows(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with _run (its place in the manifest) and _shard (the file's name)."""
+    def rows(self, version: int | None = None, run: str = "_run", shard: str = "_shard") -> DataFrame:
+        """The rows of a version with run (its place in the manifest) and shard (the first part of the file's name); these
+        take the place of columns of their names, all other columns are as they were appended."""
         m = self.manifest(version)
+        names = self.spark.createDataFrame([(r["name"], k) for k, r in enumerate(m["runs"])], "name string, place int")
         if not m["runs"]:
-            return self.spark.createDataFrame([], StructType([*self._schema(m).fields, StructField("_run", IntegerType()), StructField("_shard", StringType())]))
-        rows = self.spark.read.schema(self._schema(m)).parquet(*(f"{self.folder}/data/{r['name']}" for r in m["runs"]))
-        path = F.col("_metadata.file_path")
-        own = F.regexp_replace(path, "/[^/]*$", "")
-        place = F.coalesce(*(F.when(F.endswith(own, F.lit(f"/data/{r['name']}")), F.lit(k)) for k, r in enumerate(m["runs"])))
-        return rows.select("*", place.alias("_run"), F.element_at(F.split(path, "/"), -1).alias("_shard"))
+            rows = boxed(self.spark.createDataFrame([], self._schema(m)), path=F.lit("")) if self._schema(m).fields else names.select(F.struct().alias("_row"), F.lit("").alias("path"))
+        else:
+            read = self.spark.read.schema(self._schema(m)).parquet(*(f"{self.folder}/data/{r['name']}" for r in m["runs"]))
+            rows = boxed(read, path=read.metadataColumn("_metadata")["file_path"])
+        own = F.regexp_extract("path", "/data/([^/]+(?:/[^/]+=[^/]*)?)/[^/]*$", 1)
+        return unboxed(rows.withColumn("name", own).join(names, "name"), **{run: F.col("place"), shard: F.regexp_extract("path", "/(part-[0-9]+)[^/]*$", 1)})
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as arrivals of several sizes, appended and compacted one after another: every row of the last version
     with its run and its shard.
 
-    Null and empty texts count no bytes; repeated rows are kept; an empty table makes no run and no rows.
+    Null and empty texts count no bytes, long ones all of theirs; null ids are one arrival; repeated rows are kept; an empty
+    table makes no run and no rows. Runs, shards and sizes are the same each time, file names are not.
     """
     docs = table(spark, sf_dir, "documents")
     share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(sum(WEIGHTS)))
@@ -174,6 +208,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in sorted(sums):
         store.commit(store.append(store.manifest(), names[r[name]], int(r["b"]), int(r["n"]), docs.schema))
         store.compact()
+        store.expire()
     m = store.manifest()
     if not m["runs"]:
         return docs.select("doc_id", F.lit(0).alias("run"), F.lit("").alias("shard"), F.lit(0).cast("long").alias("n_bytes")).limit(0)

@@ -176,3 +176,31 @@ def pseudonymised(text, key):
         return new or m.group()
 
     return _PII.sub(put, text), n
+
+
+def compacted(runs, target, fan, least, most):
+    """(bytes, shards) of runs after size-tiered merging: each round merges in every tier, oldest first, groups up to most bytes."""
+
+    def tier(b, n):
+        mean, t = b / n, 0 if b / n <= least else 1
+        while t and mean >= least * fan**t:
+            t += 1
+        return t if 2 * mean < target else None
+
+    while True:
+        groups = []
+        for t in sorted({tier(*r) for r in runs} - {None}):
+            cur = []
+            for k, r in enumerate(runs):
+                if tier(*r) == t:
+                    if cur and sum(runs[x][0] for x in cur) + r[0] > most:
+                        groups.append(cur)
+                        cur = []
+                    cur.append(k)
+            groups.append(cur)
+        groups = [g for g in groups if sum(runs[k][1] for k in g) >= fan]
+        if not groups:
+            return runs
+        gone = {k for g in groups for k in g}
+        made = [(sum(runs[k][0] for k in g), max(1, -(-sum(runs[k][0] for k in g) // target))) for g in groups]
+        runs = [r for k, r in enumerate(runs) if k not in gone] + made

@@ -215,6 +215,29 @@ def test_forest(spark):
     own = clashing(docs)
     kept = op4.kept(own, forest)
     assert kept.columns == own.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
+    # verdicts: paths walked one by one, and the threshold of the best balance among all that lose few good rows
+    x = op4.features(op4.stats(pa.array(clean + junk)))
+
+    def score(row):
+        total = 0.0
+        for f, cut, left, length in zip(forest.feature, forest.cut, forest.left, forest.length, strict=True):
+            at = 0
+            while f[at] >= 0:
+                at = left[at] + (row[f[at]] >= cut[at])
+            total += length[at]
+        return 2 ** (-total / 100 / forest.norm)
+
+    scores = [score(r) for r in x]
+    assert all(got[k].kept == (s <= forest.threshold) for k, s in enumerate(scores) if not got[k].base_failed)
+    own = [(scores[k], k < 300) for k in range(0, 420, 2) if not got[k].base_failed]
+    n_good = sum(g for _, g in own)
+    balance = lambda t: (sum(s > t for s, g in own if not g) / max(len(own) - n_good, 1) - sum(s > t for s, g in own if g) / n_good, sum(s > t for s, g in own if g))
+    fine = [balance(t)[0] for t, _ in own if balance(t)[1] <= 0.003 * n_good]
+    assert balance(forest.threshold)[1] <= 0.003 * n_good and balance(forest.threshold)[0] == max(fine)
+    # labels of other documents do not use up the sample, and repeated ids and labels count once
+    many = labels.unionByName(labels).unionByName(spark.range(10**6, 10**6 + 8000).selectExpr("id as doc_id", "1 as quality", "0 as toxic"))
+    assert {tuple(r) for r in op4.labelled(docs, many, 210).select("doc_id", "quality").collect()} == {(k, int(k < 300)) for k in range(0, 420, 2)}
+    assert (op4.fit(docs.unionByName(docs), many, 210).threshold, op4.labelled(docs, many, 7).count()) == (forest.threshold, 7)
     nothing = op4.fit(docs, labels.limit(0))
     assert nothing is None and {r.kept == (not r.base_failed) for r in op4.judged(docs, nothing).collect()} == {True}
     assert op4.judged(docs.limit(0), forest).isEmpty() and op4.fit(docs.limit(0), labels) is None
@@ -228,23 +251,37 @@ def test_compaction(spark):
     store = op5.Store(spark, work_folder(spark), target=4000, fan=3, least=100)
     rows = [(k, prose(rng, rng.randrange(0, 40))) for k in range(600)] + [(3, None), (3, ""), (None, "x"), (7, "long " * 3000)]
     df = spark.createDataFrame([(*r, k % 7) for k, r in enumerate(rows)], "doc_id long, text string, a int")
+    df = df.withColumns({"_run": F.lit("own"), "_shard": F.lit("own"), "_metadata": F.lit("own"), "name": F.lit("own"), "path": F.lit("own")})
     names = store.staged(df, "a")
     assert len(names) == 7 and store.versions() == []
+    sizes, layout = [], []  # of the runs, oldest first: bytes and shards; and what the tiers make of them
     for k in range(7):
         own = [r for i, r in enumerate(rows) if i % 7 == k]
         m = store.append(store.manifest(), names[k], sum(len(t or "") for _, t in own), len(own), df.drop("a").schema)
         store.commit(m)
         with pytest.raises(op5.Conflict):
             store.commit(m)
-        before = store.manifest()["version"]
+        before = store.manifest()
+        layout.append((m["runs"][-1]["bytes"], m["runs"][-1]["shards"]))
         store.compact()
-        assert Counter((r.doc_id, r.text) for r in store.rows().collect()) == Counter(r for i, r in enumerate(rows) if i % 7 <= k)
-        assert store.manifest()["version"] >= before
+        layout = brute.compacted(layout, 4000, 3, 100, store.most)
+        now = store.manifest()
+        assert [r["bytes"] for r in now["runs"]] == [b for b, _ in layout] and all(r["shards"] <= n for r, (_, n) in zip(now["runs"], layout, strict=True))
+        layout = [(r["bytes"], r["shards"]) for r in now["runs"]]
+        found = store.rows(run="_place", shard="_file").collect()
+        assert Counter((r.doc_id, r.text) for r in found) == Counter(r for i, r in enumerate(rows) if i % 7 <= k)
+        assert all(r._run == r._shard == r._metadata == r.name == r.path == "own" for r in found)
+        for i, r in enumerate(now["runs"]):
+            files = {x._file for x in found if x._place == i}
+            assert len(files) == r["shards"] and sum(len((x.text or "").encode()) for x in found if x._place == i) == r["bytes"]
+        assert store.rows(before["version"]).count() == len(found) and now["version"] >= before["version"]  # old versions can be read
     m = store.manifest()
-    assert not store.pick(m) and sum(r["rows"] for r in m["runs"]) == len(rows)
+    assert not store.picks(m) and sum(r["rows"] for r in m["runs"]) == len(rows)
     full = [r for r in m["runs"] if store.tier(r) is None]
     assert full and all(2 * r["bytes"] / r["shards"] >= 4000 for r in full)
     assert store.versions() == list(range(1, m["version"] + 1)) and store.manifest(0)["runs"] == []
+    store.expire(2)
+    assert store.versions() == [m["version"] - 1, m["version"]] and store.rows().count() == store.rows(m["version"] - 1).count() == len(rows)
     assert op5.Store(spark, work_folder(spark)).rows().isEmpty()
 
 
