@@ -48,3 +48,24 @@ def test_stages(spark):
     for _, stage in pipeline.STAGES[:4]:
         assert stage(spark, docs, FOLDER).columns == docs.columns
         assert stage(spark, docs.limit(0), FOLDER).isEmpty()
+
+
+def test_stages_keep_odd_rows_and_columns(spark):
+    """Nulls, empty, long and repeated texts, and columns that operators use themselves."""
+    own = ["_text", "_lines", "_dropped", "_domain", "_lang", "_source", "_tokens", "_epoch", "_row", "_ids", "n", "h", "t", "rep", "kept"]
+    prose = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = [None, "", "a b", prose(1), prose(1), prose(2, 30000), prose(3) + "\nCopyright", *(prose(k) + "\nCopyright" for k in range(10, 30))]
+    rows = [(k, t, None if k == 3 else "en", None if k == 4 else "src1", len(t or "")) for k, t in enumerate(texts)]
+    rows += [rows[-1], (None, prose(90), "en", "src1", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"'own' as {c}" for c in own))
+    kept = {}
+    for name, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, FOLDER)
+        found = out.collect()
+        assert out.columns == docs.columns and all(r[c] == "own" for r in found for c in own), name
+        kept[name] = Counter((r.doc_id, r.text) for r in found)
+    every = Counter((r[0], r[1]) for r in rows)
+    assert kept["quality_rules"] == Counter({x: n for x, n in every.items() if x[1] and len(x[1].split()) >= 50})
+    assert kept["line_dedup"] == Counter((r[0], r[1] if r[1] is None else r[1].replace("\nCopyright", "")) for r in rows)
+    assert {x for x in every if x[1] not in (prose(1), "")} | {(3, prose(1)), (1, "")} == set(kept["near_dedup"]) and set(kept["mixing"]) <= set(every)
+    assert pipeline.STAGES[4][1](spark, docs, FOLDER).count() == len(rows)
