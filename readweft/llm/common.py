@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """A new path in the shared folder that spark.checkpoint.dir names; a temporary one only where it is unset and driver
+    and executors are one process."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="readweft-"))
         top = sc.getCheckpointDir()
     return f"{top.rstrip('/')}/readweft-{uuid.uuid4().hex}"
@@ -33,6 +36,14 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing reads it any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        to = jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(conf).delete(to, True)
+
+
 def boxed(df: DataFrame, **columns) -> DataFrame:
     """_row with all columns of df, and columns of an operator's own: whatever names df has, they do not clash."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(c.alias(k) for k, c in columns.items()))
@@ -84,7 +95,8 @@ def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(least, "v")
         small = joined.select(F.col("m").alias("u"), "v").unionByName(joined.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v")))
-        now = written(small.distinct(), folder, "edges")
+        old, now = now, written(small.distinct(), folder, "edges")
+        removed(old)
         got = now.agg(*sums).first()
         if got == was:
             break

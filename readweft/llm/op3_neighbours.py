@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, work_folder, written
+from .common import one_per_id, shuffle_partitions, table, work_folder, written
 from .hnsw import EF_SEARCH, Graph
 
 #: Vectors of a shard (2 KB each while it is built), queries of a block, and blocks that share a copy of a shard.
@@ -52,7 +52,7 @@ def _build(rows: pa.Table) -> pa.Table:
             "shard": pa.array(rows.column("shard").slice(0, 1).to_pylist(), pa.int32()),
             "sizes": pa.array([members.value_lengths().to_pylist()], pa.list_(pa.int32())),
             "ids": pa.array([members.flatten().to_pylist()], pa.list_(pa.int64())),
-            "x": pa.array([x.astype(np.float32).tobytes()], pa.binary()),
+            "x": pa.array([x.astype(np.float64 if pa.types.is_float64(rows.schema.field("embedding").type.value_type) else np.float32).tobytes()], pa.binary()),
             "links": pa.array([[a.tobytes() for a in links]], pa.list_(pa.binary())),
         }
     )
@@ -65,7 +65,7 @@ def index(vectors: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, members
     result and would fill the graph with ties.
     """
     by = W.partitionBy("embedding").orderBy("vec_id")
-    nodes = vectors.distinct().withColumn("k", F.row_number().over(by)).where(F.col("k") <= members)
+    nodes = vectors.withColumn("k", F.row_number().over(by)).where(F.col("k") <= members)
     nodes = nodes.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = written(nodes.withColumn("first", F.element_at("ids", 1)).withColumn("dim", F.size("embedding")), folder, "nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
@@ -82,8 +82,9 @@ def _search(k: int, ef: int):
                 at = lambda c: b.column(c)[row]  # noqa: E731, B023
                 if at("kind").as_py() == 0:
                     key = (at("dim").as_py(), at("shard").as_py())
-                    x = np.frombuffer(at("x").as_py(), np.float32).reshape(-1, key[0]).astype(np.float64)
-                    sizes = np.array(at("sizes").as_py())
+                    sizes, raw = np.array(at("sizes").as_py()), at("x").as_py()
+                    kind = np.float32 if len(raw) == 4 * len(sizes) * key[0] else np.float64
+                    x = np.frombuffer(raw, kind).reshape(-1, key[0]).astype(np.float64)
                     ids, ends = np.array(at("ids").as_py()), np.cumsum(sizes)
                     links = [np.frombuffer(z, np.int32).reshape(len(x), -1) for z in at("links").as_py()]
                     graph = Graph.of(_unit(x), links)
@@ -107,13 +108,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEA
 
     vectors and queries have vec_id and embedding; rows that valid() drops take no part, and vectors of another length
     are no candidates. The score is the cosine in double precision on the original vectors; ties go to smaller ids.
-    Each shard is walked by blocks of queries; a shard with many blocks is read by several tasks. Repeated rows with
-    the same id count once.
+    Each shard is walked by blocks of queries; a shard with many blocks is read by several tasks. An id that repeats has
+    one vector, the least of its valid ones by the order of arrays. Other columns are not read; no valid vectors or
+    queries give no rows.
     """
     folder = work_folder(vectors.sparkSession)
     n = shuffle_partitions(vectors.sparkSession)
-    own = index(valid(vectors), folder, shard_rows, k + 1)
-    asked = valid(queries).dropDuplicates(["vec_id"]).withColumn("dim", F.size("embedding"))
+    own = index(one_per_id(valid(vectors), "vec_id", "embedding"), folder, shard_rows, k + 1)
+    asked = one_per_id(valid(queries), "vec_id", "embedding").withColumn("dim", F.size("embedding"))
     asked = written(asked, folder, "queries")
     blocks = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     salts = F.ceil(F.col("blocks") / BLOCKS).cast("int")

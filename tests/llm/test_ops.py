@@ -178,6 +178,10 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 5 * len(got)
     assert [v for _, v, _ in got[500]] == [300, 301, 302, 303, 304]  # ties go to smaller ids
     assert op3.nearest(df.limit(0), df.limit(0)).isEmpty()
+    # an id with several vectors has the least one, as a candidate and as a query; doubles keep their precision
+    many = spark.createDataFrame([(0, [1.0, 1e-9]), (0, [2.0, 0.5]), (0, [1.0, 1e-9]), (0, None), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id): r.score for r in op3.nearest(many, many).collect()}
+    assert set(found) == {(a, b) for a in range(3) for b in range(3) if a != b} and found[2, 0] == found[0, 2] == 1e-9 / np.sqrt(1 + 1e-18)
     few = df.where("vec_id < 3")
     assert op3.nearest(few, few.where("vec_id = 0")).count() == 2
 
