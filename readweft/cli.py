@@ -23,10 +23,11 @@ NOT_BUILT = ("qc", "logs")
 
 
 def parser() -> argparse.ArgumentParser:
-    common = argparse.ArgumentParser(add_help=False)
-    for flag in ("--no-log", "--quiet", "--verbose"):
-        common.add_argument(flag, action="store_true")
-    top = argparse.ArgumentParser(prog="readweft", parents=[common])
+    top, common = argparse.ArgumentParser(prog="readweft"), argparse.ArgumentParser(add_help=False)
+    for flag, about in (("--no-log", "accepted; no log is kept"), ("--quiet", "nothing on standard error"), ("--verbose", "say what is read")):
+        top.add_argument(flag, action="store_true", help=about)
+        # a default here would overwrite what stands before the verb
+        common.add_argument(flag, action="store_true", default=argparse.SUPPRESS, help=about)
     verbs = top.add_subparsers(dest="verb", required=True)
 
     def verb(name: str, about: str, many: bool = False) -> argparse.ArgumentParser:
@@ -80,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("-n", "--reads", type=int, default=None)
         one.add_argument("--bases", type=int)
     for name in NOT_BUILT:
-        verbs.add_parser(name, help="not available")
+        verbs.add_parser(name, help="not available", parents=[common])
     return top
 
 
@@ -121,6 +122,8 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     if args.verb in NOT_BUILT:
         raise NotImplementedError(f"{args.verb} is not available")
     tell = (lambda *a: None) if args.quiet else (lambda *a: print(*a, file=sys.stderr))
+    if args.verbose:
+        tell(f"{args.verb}: reading {', '.join(args.input if isinstance(args.input, list) else [args.input]) or '-'}")
     if args.verb in ("stats", "count"):
         paths = list(args.input)
         if not paths or paths == ["-"]:

@@ -5,18 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+
 
 def nx(lengths: Sequence[int], x: float) -> int:
     """The length at which lengths from the longest down reach x percent of their sum."""
-    total, seen = sum(lengths), 0
-    if not lengths or x <= 0 or x > 100:
+    if not len(lengths) or not 0 < x <= 100:
         return 0
-    goal = int(total * x / 100.0)
-    for n in sorted(lengths, reverse=True):
-        seen += n
-        if seen >= goal:
-            return n
-    return 0
+    down = -np.sort(-np.asarray(lengths, np.int64))
+    sums = down.cumsum()
+    return int(down[np.searchsorted(sums, int(sums[-1] * x / 100.0))])
 
 
 def n50(lengths: Sequence[int]) -> int:

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BadArgument
-from ..functions.dna import IUPAC, escaped, iupac_class, reverse_complement
+from ..functions.dna import IUPAC, escaped, reverse_complement
+from ..functions.quality import flat_bytes
 
-#: Beyond so many alternatives a search runs over Arrow batches instead of one regular expression.
+#: Beyond so many alternatives a search runs over Arrow batches instead of one regular expression, with the same results.
 ALTERNATIVES = 200
+#: Bytes of text that are searched at once.
+PIECE = 4 << 20
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -53,32 +58,59 @@ def _any_of(patterns: list[str], fold: bool):
     return found
 
 
-def fuzzy_table(pattern: str, degenerate: bool, fold: bool) -> np.ndarray:
-    """table[i, c]: whether character c does not match at place i of the pattern."""
-    miss = np.ones((len(pattern), 256), bool)
-    for i, p in enumerate(pattern):
-        if degenerate and p.upper() in IUPAC:
-            own = IUPAC[p.upper()].replace("T", "TU")
-            own += own.lower()
-        elif degenerate or fold:
-            own = p.upper() + p.lower()
-        else:
-            own = p
-        for c in own:
-            if ord(c) < 256:
-                miss[i, ord(c)] = False
-    return miss
+def accepted(c: str, degenerate: bool, fold: bool) -> str:
+    """The characters that match c of a pattern; only A-Z and a-z have a case."""
+    if degenerate and c.upper() in IUPAC:
+        own = IUPAC[c.upper()].replace("T", "TU")
+        return own + own.lower()
+    if (degenerate or fold) and (c in _LOWER or c in _UPPER):
+        return c.upper() + c.lower()
+    return c
+
+
+def fuzzy_table(pattern: str, degenerate: bool, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(alphabet, miss): the sorted code points that match somewhere, and miss[i, k]: whether the k-th of them (or, last, any
+    other character) does not match at place i."""
+    own = [accepted(c, degenerate, fold) for c in pattern]
+    alphabet = sorted({c for x in own for c in x})
+    miss = np.ones((len(own), len(alphabet) + 1), bool)
+    for i, x in enumerate(own):
+        miss[i, [alphabet.index(c) for c in x]] = False
+    return np.array([ord(c) for c in alphabet], np.uint32), miss
 
 
-def fuzzy_contains(text: bytes, miss: np.ndarray, k: int) -> bool:
-    """Whether some window of text differs from the pattern in at most k places."""
-    n = len(text) - len(miss) + 1
+def fuzzy_found(offsets: np.ndarray, points: np.ndarray, alphabet: np.ndarray, miss: np.ndarray, k: int) -> np.ndarray:
+    """For each text (code points between offsets) whether some window differs from the pattern in at most k places."""
+    out, n = np.zeros(len(offsets) - 1, bool), len(points) - len(miss) + 1
     if n <= 0:
-        return False
-    codes, count = np.frombuffer(text, np.uint8), np.zeros(n, np.int32)
+        return out
+    if points.itemsize == 1:
+        table = np.full(256, len(alphabet), np.int16)
+        table[alphabet[alphabet < 256]] = np.flatnonzero(alphabet < 256)
+        codes = table[points]
+    else:
+        at = np.minimum(np.searchsorted(alphabet, points), len(alphabet) - 1)
+        codes = np.where(alphabet[at] == points, at, len(alphabet))
+    count = np.zeros(n, np.int32)
     for i in range(len(miss)):
         count += miss[i, codes[i : i + n]]
-    return bool((count <= k).any())
+    hits = np.flatnonzero(count <= k)
+    text = np.searchsorted(offsets, hits, "right") - 1
+    out[text[hits + len(miss) <= offsets[text + 1]]] = True
+    return out
+
+
+def _pieces(x: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(offsets, code points) of some MB of texts each; ASCII is looked at where it is."""
+    size = pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).cumsum() // PIECE
+    edge = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(x)]
+    for a, z in zip(edge[:-1], edge[1:], strict=True):
+        part = x.slice(a, z - a)
+        if pc.all(pc.string_is_ascii(part), min_count=0).as_py():
+            yield flat_bytes(part)
+        else:
+            texts = [s or "" for s in part.to_pylist()]
+            yield np.cumsum([0, *map(len, texts)]), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _fuzzy(patterns: list[str], k: int, degenerate: bool, fold: bool):
@@ -86,8 +118,8 @@ def _fuzzy(patterns: list[str], k: int, degenerate: bool, fold: bool):
 
     @F.arrow_udf("boolean")
     def found(x: pa.Array) -> pa.Array:
-        texts = (None if s is None else s.encode("latin-1", "replace") for s in x.to_pylist())
-        return pa.array([None if t is None else any(fuzzy_contains(t, m, k) for m in tables) for t in texts], pa.bool_())
+        parts = [np.logical_or.reduce([fuzzy_found(*piece, *t, k) for t in tables]) for piece in _pieces(x)] if len(x) else [np.zeros(0, bool)]
+        return pa.array(np.concatenate(parts), pa.bool_(), mask=x.is_null().to_numpy(zero_copy_only=False))
 
     return found
 
@@ -112,7 +144,7 @@ def matcher(patterns: list[str], regex: bool = False, mismatches: int = 0, degen
         return lambda x: reduce(lambda a, b: a | b, (x.rlike(flags + p) for p in patterns))
     fold = not case_sensitive
     if mismatches or degenerate:
-        one = iupac_class if degenerate else (_either_case if fold else escaped)
+        one = lambda c: _class(accepted(c, degenerate, fold))
         if len(patterns) * max(math.comb(len(p), min(mismatches, len(p))) for p in patterns) <= ALTERNATIVES:
             return lambda x: x.rlike("(?s)" + "|".join(w for p in patterns for w in wildcards(p, mismatches, one)))
         return _fuzzy(patterns, mismatches, degenerate, fold)
@@ -125,6 +157,10 @@ def matcher(patterns: list[str], regex: bool = False, mismatches: int = 0, degen
     return lambda x: x.rlike("(?s)" + "|".join("".join(map(_either_case if fold else escaped, p)) for p in own))
 
 
+def _class(chars: str) -> str:
+    return escaped(chars) if len(chars) == 1 else "[" + "".join(map(escaped, chars)) + "]"
+
+
 def _either_case(c: str) -> str:
     return f"[{c.upper()}{c.lower()}]" if c in _LOWER or c in _UPPER else escaped(c)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BadArgument
 
-#: Reads whose ord has the same quotient by this make a block: 64 MB of a text file.
+#: Reads whose ord has the same quotient by this make a block: 64 MB of uncompressed text.
 BLOCK = 1 << 26
 
 

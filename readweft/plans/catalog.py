@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .. import functions as X
 from .. import operators as O
 from ..functions.dna import count_of
-from ..sources.sinks import fasta_lines, fastq_lines
-from .derive import READS_SQL, reads_of
+from ..sources import read_reads
+from ..sources.sinks import output_format
+from .derive import READS_SQL, reads_of, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,11 +32,10 @@ _NFRAC = f"coalesce({_n('Nn')}::DOUBLE / nullif(length(seq), 0), 0.0)"
 _RC = "reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))"
 
 
-def _query(name: str, sql: str | None = None, with_: str = ""):
+def _query(name: str, sql: str, with_: str = ""):
     def put(f: Callable[[DataFrame], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(reads_of(spark, sf_dir))
-        if sql is not None:
-            SQL[name] = f"WITH {READS_SQL}{', ' + with_ if with_ else ''} {sql}"
+        SQL[name] = f"WITH {READS_SQL}{', ' + with_ if with_ else ''} {sql}"
         return f
 
     return put
@@ -125,8 +125,8 @@ def _(df):
 
 @_query("len_percentiles", _some("file, " + ", ".join(f"len_p{p}" for p in (10, 25, 50, 75, 90, 99))), _parts)
 def _(df):
-    got = O.report.exact_percentiles(df.select("file", F.length("seq").cast("double").alias("x")), ["file"], "x", width=64.0)
-    return got.select("file", *(_r(f"p{p}").alias(f"len_p{p}") for p in O.report.PERCENTILES))
+    got = O.report.length_percentiles(df.select("file", F.length("seq").cast("long").alias("len")), ["file"])
+    return got.select("file", *(_r(f"l{p}").alias(f"len_p{p}") for p in O.report.PERCENTILES))
 
 
 @_query("qual_percentiles", _some("file, " + ", ".join(f"qual_p{p}" for p in (10, 25, 50, 75, 90, 99))), _parts)
@@ -310,5 +310,38 @@ def _(df):
 
 @_query("convert_keep_format", f"SELECT ord, md5(CASE WHEN qual IS NULL THEN '>' || id || chr(10) || seq ELSE {_fastq} qual END) AS record_md5 FROM reads")
 def _(df):
-    text = F.when(F.col("format") == "FASTA", fasta_lines()).otherwise(fastq_lines())
-    return df.select("ord", F.md5(text).alias("record_md5"))
+    kept = [O.converted(df.where(F.col("format") == kind), output_format(kind)) for kind in ("FASTA", "FASTQ")]
+    return kept[0].unionByName(kept[1]).select("ord", F.md5("value").alias("record_md5"))
+
+
+# files: the reads are written as text and read again
+
+_whole = f"id, {_LEN} AS len, md5(seq) AS seq_md5, md5(coalesce(qual, '')) AS qual_md5"
+
+
+def _whole_reads(df: DataFrame) -> DataFrame:
+    return df.select("id", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("seq_md5"), F.md5(F.coalesce("qual", F.lit(""))).alias("qual_md5"))
+
+
+def _scan(name: str, fmt: str, zipped: bool = False, **how) -> None:
+    where = "qual is not null" if fmt == "FASTQ" else "true"
+    columns = _whole if fmt == "FASTQ" else _whole.replace("md5(coalesce(qual, ''))", "md5('')")
+
+    @_query(name, f"SELECT {columns} FROM reads WHERE {where}")
+    def _(df):
+        return _whole_reads(read_reads(df.sparkSession, stored(df.where(where), fmt, zipped), fmt=fmt, **how))
+
+
+_scan("scan_fastq", "FASTQ")
+_scan("scan_fastq_splits", "FASTQ", split_bytes=50_000)
+_scan("scan_fastq_gzip", "FASTQ", zipped=True)
+_scan("scan_fasta", "FASTA")
+_scan("scan_fasta_splits", "FASTA", split_bytes=50_000)
+_scan("scan_fasta_gzip", "FASTA", zipped=True)
+
+
+@_query("scan_head_gzip", "SELECT count(*) AS reads, sum(length(seq))::BIGINT AS bases FROM reads WHERE qual IS NOT NULL")
+def _(df):
+    """Every base of several gzip files, in blocks of their text."""
+    back = read_reads(df.sparkSession, stored(df.where("qual is not null"), "FASTQ", True), fmt="FASTQ")
+    return O.head_bases(back, 10**12, block=1 << 16).agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).cast("long").alias("bases"))

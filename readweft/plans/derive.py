@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_folder
+from ..sources import write_reads
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What letters become as bases and as qualities.
 BASES, MARKS = "ACGTACGTACGTACGTGCATGCATNA", "!5?+#/:DBF%<@;=EHC>8I9G6AJ"
@@ -27,6 +30,17 @@ def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(df: DataFrame, fmt: str, zipped: bool) -> list[str]:
+    """The files of reads that are written as text to a new folder."""
+    sc = df.sparkSession.sparkContext
+    folder = new_folder(df.sparkSession, "reads") + (".gz" if zipped else "")
+    write_reads(df, folder, fmt, ordered=False)
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files = (x.getPath() for x in path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path))
+    own = [f.toUri() for f in files if f.getName().startswith("part-")]
+    return sorted(u.getPath() if u.getScheme() in (None, "file") else u.toString() for u in own)
+
+
 READS_SQL = f"""
 t AS (SELECT doc_id, lang, source, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM documents),
 s AS (SELECT *, translate(t, '{LETTERS}', '{BASES}') AS s FROM t),

@@ -1,7 +1,8 @@
 """Scans of FASTQ, FASTA and BAM files as a Python data source that yields Arrow batches.
 
 Plain text is split into byte ranges: a range owns the records that start in it. gzip (told by its magic bytes) and
-BAM are read by one task a file. Files are opened through pyarrow's file systems, so that URIs work on executors.
+BAM are read by one task a file. ord is the place of a record in its file, in bytes of the uncompressed text (of the
+records, in BAM), so that blocks of equal ranges of ord are alike in size for every kind. Files are opened through pyarrow's file systems, so that URIs work on executors.
 """
 
 from __future__ import annotations
@@ -71,8 +72,8 @@ class _Lines:
         return at, line.rstrip(b"\r\n")
 
 
-def _fastq(f, at: int, end: int | None, dense: bool, k: int = 0) -> Iterator[tuple]:
-    """The records from the one at byte at on, line by line; k is its number."""
+def _fastq(f, at: int, end: int | None) -> Iterator[tuple]:
+    """The records from the one at byte at on, line by line."""
     f.seek(at)
     lines = _Lines(f, at)
     while True:
@@ -91,17 +92,16 @@ def _fastq(f, at: int, end: int | None, dense: bool, k: int = 0) -> Iterator[tup
         if len(letters) != len(marks):
             raise MalformedRecord(f"sequence and quality differ in length at {at}: {len(letters)} and {len(marks)}")
         name, desc = _header(head[1:])
-        yield k if dense else at, name, desc, letters.decode("latin-1"), marks.decode("latin-1")
-        k += 1
+        yield at, name, desc, letters.decode("latin-1"), marks.decode("latin-1")
 
 
-def _fastq_columns(f, start: int, end: int | None, dense: bool) -> Iterator[tuple]:
+def _fastq_columns(f, start: int, end: int | None) -> Iterator[tuple]:
     """Lists (ord, id, desc, seq, qual) of the records that start in the range, block by block.
 
     Blocks of plain four-line records are cut up at once; what is anything else (white space in odd places, carriage
     returns, other than ASCII, errors) goes line by line from there on.
     """
-    at, rest, k = _fastq_start(f, start) if start else 0, b"", 0
+    at, rest = _fastq_start(f, start) if start else 0, b""
     f.seek(at)
     while True:
         chunk = f.read(BATCH_BYTES)
@@ -115,7 +115,7 @@ def _fastq_columns(f, start: int, end: int | None, dense: bool) -> Iterator[tupl
         fine = data.isascii() and b"\r" not in data and b"\t" not in data and all(h[:1] == b"@" for h in heads) and all(m[:1] == b"+" for m in marks)
         sizes = list(map(len, seqs))
         if not fine or sizes != list(map(len, quals)) or not chunk and any(lines[n:]):
-            if rows := list(_fastq(f, at, end, dense, k)):
+            if rows := list(_fastq(f, at, end)):
                 yield tuple(map(list, zip(*rows, strict=True)))
             return
         if n:
@@ -123,12 +123,11 @@ def _fastq_columns(f, start: int, end: int | None, dense: bool) -> Iterator[tupl
             places = at + np.cumsum(whole) - whole
             take = len(places) if end is None else int(np.searchsorted(places, end))
             parts = [h[1:].partition(b" ") for h in heads[:take]]
-            ords = list(range(k, k + take)) if dense else places[:take].tolist()
             if take:
-                yield ords, [p[0] for p in parts], [p[2].strip() or None for p in parts], seqs[:take], quals[:take]
+                yield places[:take].tolist(), [p[0] for p in parts], [p[2].strip() or None for p in parts], seqs[:take], quals[:take]
             if take < len(places):
                 return
-            at, k = at + int(whole.sum()), k + take
+            at += int(whole.sum())
         if not chunk:
             return
         rest = b"\n".join([*lines[n:], tail])
@@ -152,12 +151,12 @@ def _fastq_start(f, start: int) -> int:
         window.pop(0)
 
 
-def _fasta(f, start: int, end: int | None, dense: bool) -> Iterator[tuple]:
+def _fasta(f, start: int, end: int | None) -> Iterator[tuple]:
     at = start
     if start:
         f.seek(start - 1)
         at = start - 1 + len(f.readline())
-    lines, k, now, parts = _Lines(f, at), 0, None, []
+    lines, now, parts = _Lines(f, at), None, []
     while (got := lines.next()) is not None:
         at, line = got
         if line[:1] == b">":
@@ -165,8 +164,7 @@ def _fasta(f, start: int, end: int | None, dense: bool) -> Iterator[tuple]:
                 yield (*now, b"".join(parts).decode("latin-1"), None)
             if end is not None and at >= end:
                 return
-            now, parts = (k if dense else at, *_header(line[1:])), []
-            k += 1
+            now, parts = (at, *_header(line[1:])), []
         elif now:
             parts.append(line)
         elif line and not start:
@@ -213,7 +211,7 @@ def _bam(f) -> Iterator[tuple]:
     for _ in range(number()):
         z.take(number())
         z.take(4)
-    k = 0
+    at_record = 0
     while True:
         size = z.take(4)
         if not size:
@@ -228,8 +226,8 @@ def _bam(f) -> Iterator[tuple]:
         raw = np.frombuffer(body, np.uint8, n_seq, at + (n_seq + 1) // 2)
         # no quality is stored as 255 throughout
         qual = None if n_seq == 0 or (raw == 255).all() else np.minimum(raw.astype(np.int32) + 33, 255).astype(np.uint8).tobytes().decode("latin-1")
-        yield k, "" if name == "*" else name, None, letters, qual
-        k += 1
+        yield at_record, "" if name == "*" else name, None, letters, qual
+        at_record += 4 + len(body)
 
 
 class _Range(InputPartition):
@@ -245,7 +243,7 @@ def records(r: _Range) -> Iterator[tuple]:
         if r.kind == BAM:
             yield from _bam(raw)
         else:
-            yield from _fasta(f, r.start, r.end, r.zipped)
+            yield from _fasta(f, r.start, r.end)
 
 
 def columns(r: _Range) -> Iterator[tuple]:
@@ -253,7 +251,7 @@ def columns(r: _Range) -> Iterator[tuple]:
     if r.kind == FASTQ:
         with open_bytes(r.path) as raw:
             f = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if r.zipped else raw
-            yield from _fastq_columns(f, r.start, r.end, r.zipped)
+            yield from _fastq_columns(f, r.start, r.end)
         return
     held, size = [], 0
     for row in records(r):
@@ -320,13 +318,14 @@ class ReadsSource(DataSource):
         return ReadsReader(self.options)
 
 
-def described(paths: list[str], basename: bool = False) -> list[dict]:
-    return [{"idx": k, "path": p, "label": base_name(p) if basename else p, "format": detect_format(p)} for k, p in enumerate(paths)]
+def described(paths: list[str], basename: bool = False, fmt: str | None = None) -> list[dict]:
+    return [{"idx": k, "path": p, "label": base_name(p) if basename else p, "format": fmt or detect_format(p)} for k, p in enumerate(paths)]
 
 
-def read_reads(spark: SparkSession, paths: str | list[str], basename: bool = False, split_bytes: int = SPLIT_BYTES, limit: int = 0) -> DataFrame:
-    """The reads of files in the order of the list; a file named twice is read twice."""
-    inputs = described([paths] if isinstance(paths, str) else list(paths), basename)
+def read_reads(spark: SparkSession, paths: str | list[str], basename: bool = False, split_bytes: int = SPLIT_BYTES, limit: int = 0, fmt: str | None = None) -> DataFrame:
+    """The reads of files in the order of the list; a file named twice is read twice. fmt tells the format of all files, whose
+    names need not tell it then."""
+    inputs = described([paths] if isinstance(paths, str) else list(paths), basename, fmt)
     spark.dataSource.register(ReadsSource)
     return spark.read.format("reads").option("inputs", json.dumps(inputs)).option("splitBytes", str(split_bytes)).option("limit", str(limit)).load()
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from readweft import functions as X
 from readweft.errors import BadArgument, UnknownFormat
 from readweft.functions.quality import err_sum_native
+from readweft.functions.trim import best_segments
 from readweft.sources.formats import detect_format, pattern_lines, sniff
 
 
@@ -20,8 +22,8 @@ def test_lists():
 
 
 def test_sizes():
-    assert [X.parse_size(x) for x in ("5", " 2k ", "1.5g", "3M", "0.0005k")] == [5, 2000, 1_500_000_000, 3_000_000, 1]
-    for bad in ("", "-1", "1x", "k", "1.2.3", "1e3"):
+    assert [X.parse_size(x) for x in ("5", " 2k ", "1.5g", "3M", "0.0005k", "1e3", "2.5E-1k", "1e2 m")] == [5, 2000, 1_500_000_000, 3_000_000, 1, 1000, 250, 100_000_000]
+    for bad in ("", "-1", "1x", "k", "1.2.3", "e3", "1e", "1e999", "nan", "inf"):
         with pytest.raises(BadArgument):
             X.parse_size(bad)
 
@@ -64,6 +66,25 @@ def test_segments_are_best(qual, cutoff):
     assert sum(gain[start:stop]) == pytest.approx(max(sums))
 
 
+@given(st.lists(st.text(alphabet="!+-?I", max_size=30), max_size=8), st.sampled_from([0.0, 10.0, 12.0, 20.0, 30.5]))
+def test_segments_of_a_batch(quals, cutoff):
+    """Against a fold from the left that gives a segment up when its sum falls below 0."""
+
+    def fold(qual):
+        best, at, run, begun = 0.0, (0, 0), 0.0, 0
+        for k, c in enumerate(qual):
+            if run < 0:
+                run, begun = 0.0, k
+            run += 10.0 ** (-cutoff / 10.0) - X.phred_to_prob(ord(c))
+            if at == (0, 0) or run > best or (run == best and k + 1 - begun > at[1] - at[0]):
+                best, at = run, (begun, k + 1)
+        return at
+
+    offsets = np.cumsum([0, *map(len, quals)])
+    got = best_segments(offsets, np.frombuffer("".join(quals).encode(), np.uint8), cutoff)
+    assert [tuple(x) for x in got.tolist()] == [fold(q) for q in quals]
+
+
 def test_columns(spark):
     rows = [("ACGTNacgu", "IIII55555"), ("", ""), ("GGC", None), ("EFI", "!!!"), ("acgtn", " !I~+")]
     df = spark.createDataFrame(rows, "seq string, qual string")

@@ -4,6 +4,8 @@ import json
 import pytest
 from fixtures import BAM_READS, FASTA, FASTQ, READS, bam, write
 
+from pyspark.sql import functions as F
+
 from readweft import operators as O
 from readweft.cli import one_file, run
 from readweft.errors import BadArgument, ReadweftError, UnsupportedCompression
@@ -157,6 +159,12 @@ def test_limits(spark, files):
         assert ids(O.head_bases(df, 1, block)) == ["read1"] and ids(O.head_bases(df, 41, block)) == ["read1", "read2"] and ids(O.head_bases(df, 0, block)) == []
         assert ids(O.tail_bases(df, 11, block)) == ["read4", "read5"] and ids(O.tail_bases(df, 10, block)) == ["read5"] and ids(O.tail_bases(df, 0, block)) == []
         assert len(ids(O.tail_bases(df, 10**6, block))) == 5
+    for kind in ("gz", "fa", "bam"):  # places are bytes in every kind, so that blocks are small in each
+        own = read_reads(spark, files[kind])
+        places = [r.ord for r in own.orderBy("ord").collect()]
+        assert places[0] < 100 and all(b - a > 10 for a, b in zip(places, places[1:], strict=False))
+        assert [ids(O.head_bases(own, 10**6, block)) for block in (1, 1 << 26)] == [ids(own)] * 2
+    assert [r.ord for r in read_reads(spark, files["gz"]).orderBy("ord").collect()] == [r.ord for r in df.orderBy("ord").collect()]
     assert ids(O.head_reads(df, 2)) == ["read1", "read2"] and ids(O.tail_reads(df, 2)) == ["read4", "read5"] and len(ids(O.tail_reads(df, 99))) == 5
     assert ids(read_reads(spark, files["fq"], limit=2)) == ["read1", "read2"]
     both = read_reads(spark, [files["fa"], files["fq"]])
@@ -183,6 +191,11 @@ def test_grep_kernels_agree(spark, files):
     for p, k, d in (("ACGTAC", 1, False), ("GGCCNN", 2, True), ("ccaa", 1, False), ("TTNGG", 0, True)):
         want = ids(O.grep_reads(df, p, mismatches=k, degenerate=d))
         assert ids(df.where(O.grep._fuzzy([p], k, d, True)("seq"))) == want
+    odd = spark.createDataFrame([(t,) for t in ("x\u0141bd", "x\u0141bc", "x?bc", "\u00e9AB", "\u00c9ab", "\U0001f642ab", "ab\U0001f642", "", None, "a.b")], "seq string")
+    for p, k, d, fold in (("x\u0141bd", 1, False, True), ("\u00e9ab", 0, True, True), ("\u00e9ab", 1, False, False), ("\U0001f642AB", 1, False, True), ("a.b", 1, False, True), ("[-", 1, True, True)):
+        old = [O.grep.matcher([p] * n, mismatches=k, degenerate=d, case_sensitive=not fold) for n in (1, 201)]
+        one, other = ([r[0] for r in odd.where(m(F.col("seq"))).collect()] for m in old)
+        assert one == other, p
     many = ["GATTACA"] * 250 + ["CCCAAAA"]
     assert ids(O.grep_reads(df, many)) == ids(O.grep_reads(df, "CCCAAAA"))
 
@@ -257,7 +270,9 @@ def test_cli(spark, files, capsys, tmp_path):
     assert len(said("count", files["fq"], files["fa"], "--tsv").out.splitlines()) == 3
     got = said("filter", "-l", "50", files["fq"])
     assert got.out.startswith("@read4\n") and got.err == "kept 1 / 5 reads (20.0%)\n"
-    assert said("--quiet", "head", "-n", "2", files["fa"]).out == ">seq1 first sequence\nACGTACGTACGT\n>seq2\nGGGGCCCCAAAATTTT\n"
+    for quiet in (("--quiet", "head"), ("head", "--quiet")):
+        assert tuple(said(*quiet, "-n", "2", files["fa"])) == (">seq1 first sequence\nACGTACGTACGT\n>seq2\nGGGGCCCCAAAATTTT\n", "")
+    assert said("--verbose", "count", files["fq"], "--no-log").err == f"count: reading {files['fq']}\n"
     assert said("tail", "--bases", "11", files["fq"]).err == "wrote 2 records\n"
     assert said("grep", "-p", "TTTT", "--both-strands", files["fq"]).err == "kept 2 / 5 reads\n"
     assert said("sample", "-n", "3", "--seed", "4", files["fq"]).err == "kept 3 / 5 reads\n"
