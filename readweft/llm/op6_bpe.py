@@ -120,7 +120,7 @@ class Automaton:
         while at and (at << 8 | byte) not in self.moves:
             at = self._back[at]
         to = self.moves.get(at << 8 | byte, 0)
-        if len(self.moves) < 8 * CACHE:
+        if len(self.moves) < 2 * CACHE:
             self.moves[node << 8 | byte] = to
         return to
 
