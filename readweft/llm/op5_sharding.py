@@ -23,6 +23,8 @@ FAN = 4
 LEAST, MOST = 1 << 20, 4 << 30
 #: Merges that run at the same time.
 AT_ONCE = 8
+#: Names of runs that are broadcast at most, at about 100 bytes each; with more, rows are joined with them by a shuffle.
+BROADCAST_RUNS = 100_000
 #: Sizes of the query's arrivals, in 64ths of the table.
 WEIGHTS = (16, 4, 1, 1, 4, 1, 1, 16, 4, 4, 4, 4, 4)
 
@@ -186,6 +188,7 @@ class Store:
         else:
             read = self.spark.read.schema(self._schema(m)).parquet(*(f"{self.folder}/data/{r['name']}" for r in m["runs"]))
             rows = boxed(read, path=read.metadataColumn("_metadata")["file_path"])
+        names = F.broadcast(names) if len(m["runs"]) <= BROADCAST_RUNS else names
         own = F.regexp_extract("path", "/data/([^/]+(?:/[^/]+=[^/]*)?)/[^/]*$", 1)
         return unboxed(rows.withColumn("name", own).join(names, "name"), **{run: F.col("place"), shard: F.regexp_extract("path", "/(part-[0-9]+)[^/]*$", 1)})
 
