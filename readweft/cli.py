@@ -8,14 +8,17 @@ import os
 import shutil
 import sys
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import operators as O
 from .errors import BadArgument, ReadweftError
+from .functions.size import parse_size
 from .render import output_format as report_format
 from .render import render
 from .schema import FASTA
+from .shell import SHELLS, banner, completions, interactive
 from .sources import check_sink, detect_format, inputs_frame, output_format, read_reads, read_stdin, write_reads
 from .sources.formats import pattern_lines
 
@@ -28,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
         top.add_argument(flag, action="store_true", help=about)
         # a default here would overwrite what stands before the verb
         common.add_argument(flag, action="store_true", default=argparse.SUPPRESS, help=about)
-    verbs = top.add_subparsers(dest="verb", required=True)
+    verbs = top.add_subparsers(dest="verb")
 
     def verb(name: str, about: str, many: bool = False) -> argparse.ArgumentParser:
         p = verbs.add_parser(name, help=about, parents=[common])
@@ -79,12 +82,20 @@ def parser() -> argparse.ArgumentParser:
         p = verb(name, f"the {'first' if name == 'head' else 'last'} reads")
         one = p.add_mutually_exclusive_group()
         one.add_argument("-n", "--reads", type=int, default=None)
-        one.add_argument("--bases", type=int)
+        one.add_argument("--bases", type=_size)
     for name in NOT_BUILT:
         verbs.add_parser(name, help="not available", parents=[common])
+    verbs.add_parser("completions", help="a script that completes commands in a shell", parents=[common]).add_argument("shell", choices=SHELLS)
     return top
 
 
+def _size(text: str) -> int:
+    try:
+        return parse_size(text)
+    except BadArgument as e:
+        raise argparse.ArgumentTypeError(str(e)) from e
+
+
 def _input(spark: SparkSession, path: str, limit: int = 0) -> tuple[DataFrame, str]:
     """The reads of a file or of standard input, and their format."""
     if path == "-":
@@ -119,6 +130,8 @@ def one_file(df: DataFrame, path: str, fmt: str, ordered: bool = True) -> None:
 
 def run(spark: SparkSession, argv: list[str]) -> int:
     args = parser().parse_args(argv)
+    if args.verb is None or args.verb == "completions":
+        return _without_reads(args, lambda: spark)
     if args.verb in NOT_BUILT:
         raise NotImplementedError(f"{args.verb} is not available")
     tell = (lambda *a: None) if args.quiet else (lambda *a: print(*a, file=sys.stderr))
@@ -175,11 +188,29 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     return 0
 
 
-def main() -> int:
+def _without_reads(args: argparse.Namespace, session: Callable[[], SparkSession]) -> int:
+    """What reads nothing: completions, and the prompt (on a terminal) below the banner."""
+    if args.verb == "completions":
+        sys.stdout.write(completions(parser(), args.shell))
+        return 0
+    sys.stderr.write(banner())
+    if sys.stdin.isatty():
+        interactive(parser(), lambda argv: run(session(), argv))
+    return 0
+
+
+def _session() -> SparkSession:
     spark = SparkSession.builder.appName("readweft").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def main() -> int:
     try:
-        return run(spark, sys.argv[1:])
+        args = parser().parse_args()
+        if args.verb is None or args.verb == "completions":
+            return _without_reads(args, _session)
+        return run(_session(), sys.argv[1:])
     except (ReadweftError, BadArgument, NotImplementedError, FileNotFoundError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

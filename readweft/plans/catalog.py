@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .. import functions as X
 from .. import operators as O
 from ..functions.dna import count_of
-from ..sources import read_reads
+from ..render import render
+from ..scratch import new_folder
+from ..sources import read_reads, write_blocks
 from ..sources.sinks import output_format
 from .derive import READS_SQL, reads_of, stored
 
@@ -323,6 +325,18 @@ def _whole_reads(df: DataFrame) -> DataFrame:
     return df.select("id", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("seq_md5"), F.md5(F.coalesce("qual", F.lit(""))).alias("qual_md5"))
 
 
+_DNA = "qual is not null and seq rlike '^[ACGTN]+$'"
+
+
+def _scan_blocks(name: str, fmt: str, **how) -> None:
+    where, sql = (_DNA, "qual IS NOT NULL AND regexp_matches(seq, '^[ACGTN]+$')") if fmt == "BAM" else ("qual is not null", "qual IS NOT NULL")
+
+    @_query(name, f"SELECT {_whole} FROM reads WHERE {sql}")
+    def _(df):
+        files = write_blocks(df.where(where), new_folder(df.sparkSession, "blocks"), fmt)
+        return _whole_reads(read_reads(df.sparkSession, files, **how))
+
+
 def _scan(name: str, fmt: str, zipped: bool = False, **how) -> None:
     where = "qual is not null" if fmt == "FASTQ" else "true"
     columns = _whole if fmt == "FASTQ" else _whole.replace("md5(coalesce(qual, ''))", "md5('')")
@@ -345,3 +359,45 @@ def _(df):
     """Every base of several gzip files, in blocks of their text."""
     back = read_reads(df.sparkSession, stored(df.where("qual is not null"), "FASTQ", True), fmt="FASTQ")
     return O.head_bases(back, 10**12, block=1 << 16).agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).cast("long").alias("bases"))
+
+
+_scan_blocks("scan_bam", "BAM")
+_scan_blocks("scan_bam_splits", "BAM", split_bytes=20_000)
+_scan_blocks("scan_bgzf_splits", "FASTQ", split_bytes=20_000)
+
+
+@_query("scan_twice", f"SELECT id, 2::BIGINT AS times, 2 * {_LEN} AS bases FROM reads")
+def _(df):
+    """A list of files in which each is named twice."""
+    files = stored(df, "FASTA", False)
+    return read_reads(df.sparkSession, files * 2, fmt="FASTA").groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.sum(F.length("seq")).cast("long").alias("bases"))
+
+
+# reports as text: their rows are one an input
+
+_counts = "c AS (SELECT file, count(*) AS reads, sum(length(seq))::BIGINT AS bases FROM reads GROUP BY file)"
+
+
+def _lines(df: DataFrame, fmt: str) -> list[str]:
+    return render(O.count_reads(_one(df)), fmt).splitlines()
+
+
+def _told(df: DataFrame, lines: list[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(x,) for x in lines], "line string")
+
+
+@_query("report_tsv", r"SELECT concat_ws(chr(9), file, reads, bases) AS line FROM c UNION ALL SELECT concat_ws(chr(9), 'file', 'reads', 'bases')", _counts)
+def _(df):
+    return _told(df, _lines(df, "tsv"))
+
+
+@_query("report_table", "SELECT concat_ws('|', file, format('{:,}', reads), format('{:,}', bases)) AS line FROM c UNION ALL SELECT 'file|reads|bases'", _counts)
+def _(df):
+    """The table for people; the spaces between its columns depend on all rows and are taken as one bar."""
+    return _told(df, ["|".join(x.split()) for x in _lines(df, "human")])
+
+
+@_query("report_json", """SELECT '"file": "' || file || '", "reads": ' || reads || ', "bases": ' || bases AS line FROM c""", _counts)
+def _(df):
+    text = " ".join(x.strip() for x in _lines(df, "json"))
+    return _told(df, [x.strip(" {}") for x in text.strip("[] ").split("}, {")])

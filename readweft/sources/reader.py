@@ -1,8 +1,9 @@
 """Scans of FASTQ, FASTA and BAM files as a Python data source that yields Arrow batches.
 
-Plain text is split into byte ranges: a range owns the records that start in it. gzip (told by its magic bytes) and
-BAM are read by one task a file. ord is the place of a record in its file, in bytes of the uncompressed text (of the
-records, in BAM), so that blocks of equal ranges of ord are alike in size for every kind. Files are opened through pyarrow's file systems, so that URIs work on executors.
+Plain text is split into byte ranges: a range owns the records that start in it. Files of BGZF blocks (BAM, and text that
+bgzip wrote) are split at blocks; other gzip, told by its magic bytes, is read by one task a file. ord grows along a file
+and counts bytes of the uncompressed text, with gaps between the splits of BGZF files, so that blocks of equal ranges of
+ord are bounded in size for every kind. Files are opened through pyarrow's file systems, so that URIs work on executors.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import sys
 import tempfile
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ from .formats import base_name, detect_format, sniff
 
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
+#: How a BGZF block begins, the largest one, and how much deflate can shrink a text at most.
+_BLOCK_MAGIC, _BLOCK_BYTES, _DEFLATE = b"\x1f\x8b\x08\x04", 1 << 16, 1032
 _ARROW = pa.schema(
     [("input_idx", pa.int32()), ("file", pa.string()), ("format", pa.string()), ("ord", pa.int64()), ("id", pa.string()), ("desc", pa.string()), ("seq", pa.string()), ("qual", pa.string())]
 )
@@ -43,7 +47,7 @@ def open_bytes(path: str):
 
 def _size_and_magic(path: str) -> tuple[int, bytes]:
     with open_bytes(path) as f:
-        head = f.read(6)
+        head = f.read(_BLOCK_BYTES)
         f.seek(0, io.SEEK_END)
         return f.tell(), head
 
@@ -198,63 +202,233 @@ class _Bgzf(io.RawIOBase):
         return all_[:n]
 
 
+def _block_size(data: bytes, at: int = 0) -> int:
+    """The size of the BGZF block whose header is at a place; 0 if none is there."""
+    if data[at : at + 4] != _BLOCK_MAGIC:
+        return 0
+    k, end = at + 12, at + 12 + int.from_bytes(data[at + 10 : at + 12], "little")
+    while k + 6 <= min(end, len(data)):
+        n = int.from_bytes(data[k + 2 : k + 4], "little")
+        if data[k : k + 2] == b"BC" and n == 2:
+            return int.from_bytes(data[k + 4 : k + 6], "little") + 1
+        k += 4 + n
+    return 0
+
+
+class _Blocks(io.RawIOBase):
+    """The text of a BGZF file from the first block that begins in the bytes [start, end) on, as a file of its own.
+
+    owned is the length of the text in the blocks that begin there (0 if none does), None if there is no end. Reading goes
+    on beyond it.
+    """
+
+    def __init__(self, f, start: int, end: int | None):
+        self.f, self.start, self.at, self.k, self.text = f, start, 0, -1, b""
+        f.seek(start)
+        self.data = f.read((end or start) - start + 2 * _BLOCK_BYTES)
+        self.first = self._first(len(self.data) if end is None else end - start)
+        #: Where blocks begin, in the file and in the text; the last entries are those of a block not yet looked at.
+        self.places, self.texts = [self.first or 0], [0]
+        while end is not None and self.first is not None and self.places[-1] < end and self._known(len(self.places) - 1):
+            pass
+        self.owned = None if end is None else self.texts[-1]
+
+    def _first(self, end: int) -> int | None:
+        at = self.data.find(_BLOCK_MAGIC)
+        while 0 <= at < end:
+            n = _block_size(self.data, at)
+            if n and (at + n == len(self.data) or _block_size(self.data, at + n)):
+                return self.start + at
+            at = self.data.find(_BLOCK_MAGIC, at + 1)
+        return None
+
+    def _bytes(self, place: int, n: int) -> bytes:
+        at = place - self.start
+        if at + n <= len(self.data):
+            return self.data[at : at + n]
+        self.f.seek(place)
+        return self.f.read(n)
+
+    def _known(self, k: int) -> bool:
+        """Whether block k is there; its end is known then."""
+        while len(self.places) <= k + 1:
+            place = self.places[-1]
+            data = self._bytes(place, _BLOCK_BYTES)
+            if not data:
+                return False
+            n = _block_size(data)
+            if not n or n > len(data):
+                raise MalformedRecord(f"a broken BGZF block at {place}")
+            self.places.append(place + n)
+            self.texts.append(self.texts[-1] + int.from_bytes(data[n - 4 : n], "little"))
+        return True
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, at: int, whence: int = io.SEEK_SET) -> int:
+        if whence != io.SEEK_SET:
+            raise io.UnsupportedOperation("only places from the start are known")
+        self.at = at
+        return at
+
+    def readinto(self, out) -> int:
+        k = bisect_right(self.texts, self.at) - 1
+        while self._known(k) and self.at >= self.texts[k + 1]:
+            k += 1
+        if not self._known(k):
+            return 0
+        if k != self.k:
+            place, end = self.places[k : k + 2]
+            self.k, self.text = k, zlib.decompress(self._bytes(place, end - place), 31)
+        part = self.text[self.at - self.texts[k] :][: len(out)]
+        out[: len(part)] = part
+        self.at += len(part)
+        return len(part)
+
+
 #: The letters of 4-bit base codes in BAM.
 NIBBLES = np.frombuffer(b"=ACMGRSVTWYHKDBN", np.uint8)
+#: How many records in a row must look like records for the first of them to be taken as one.
+_IN_A_ROW = 4
 
 
-def _bam(f) -> Iterator[tuple]:
-    z = _Bgzf(f)
-    if z.take(4) != b"BAM\x01":
+def _bam_header(read) -> tuple[int, int]:
+    """(its length, number of references); the next byte to read is the first record's."""
+    if read(4) != b"BAM\x01":
         raise MalformedRecord("not a BAM file")
-    number = lambda: int.from_bytes(z.take(4), "little", signed=True)
-    z.take(number())
-    for _ in range(number()):
-        z.take(number())
-        z.take(4)
-    at_record = 0
-    while True:
-        size = z.take(4)
+    number = lambda: int.from_bytes(read(4), "little", signed=True)
+    n = number()
+    read(n)
+    at, references = 12 + n, number()
+    for _ in range(references):
+        n = number()
+        read(n + 4)
+        at += 8 + n
+    return at, references
+
+
+def _bam(read, at: int, end: int | None) -> Iterator[tuple]:
+    """The records that start before end; the first one is at at and the next to read."""
+    while end is None or at < end:
+        size = read(4)
         if not size:
             return
-        body = z.take(int.from_bytes(size, "little", signed=True))
+        n = int.from_bytes(size, "little", signed=True)
+        body = read(n) if n >= 32 else b""
+        if len(body) < 32 or len(body) < n:
+            raise MalformedRecord(f"an incomplete BAM record at {at}")
         n_name, n_cigar, n_seq = body[8], int.from_bytes(body[12:14], "little"), int.from_bytes(body[16:20], "little", signed=True)
-        at = 32 + n_name
-        name = body[32 : at - 1].decode("latin-1")
-        at += 4 * n_cigar
-        packed = np.frombuffer(body, np.uint8, (n_seq + 1) // 2, at)
+        begin = 32 + n_name
+        name = body[32 : begin - 1].decode("latin-1")
+        begin += 4 * n_cigar
+        packed = np.frombuffer(body, np.uint8, (n_seq + 1) // 2, begin)
         letters = NIBBLES[np.stack([packed >> 4, packed & 15], 1).ravel()[:n_seq]].tobytes().decode()
-        raw = np.frombuffer(body, np.uint8, n_seq, at + (n_seq + 1) // 2)
+        raw = np.frombuffer(body, np.uint8, n_seq, begin + (n_seq + 1) // 2)
         # no quality is stored as 255 throughout
         qual = None if n_seq == 0 or (raw == 255).all() else np.minimum(raw.astype(np.int32) + 33, 255).astype(np.uint8).tobytes().decode("latin-1")
-        yield at_record, "" if name == "*" else name, None, letters, qual
-        at_record += 4 + len(body)
+        yield at, "" if name == "*" else name, None, letters, qual
+        at += 4 + len(body)
+
+
+def _bam_next(f, at: int, references: int) -> int | None:
+    """Where the record after the one at a place would be, if what is there can be a record."""
+    f.seek(at)
+    head = f.read(36)
+    if len(head) < 36:
+        return None
+    size, reference, place = (int.from_bytes(head[k : k + 4], "little", signed=True) for k in (0, 4, 8))
+    n_seq, mate, mate_place = (int.from_bytes(head[k : k + 4], "little", signed=True) for k in (20, 24, 28))
+    n_name, n_cigar = head[12], int.from_bytes(head[16:18], "little")
+    fine = -1 <= reference < references and -1 <= mate < references and place >= -1 and mate_place >= -1 and n_name and n_seq >= 0
+    if not fine or size < 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq:
+        return None
+    name = f.read(n_name)
+    return at + 4 + size if len(name) == n_name and name[-1] == 0 and all(32 < c < 127 for c in name[:-1]) else None
+
+
+def _bam_start(f, owned: int, references: int) -> int | None:
+    """The first place before owned at which several records, or all to the end, follow each other. References and
+    mates, which are small numbers or -1, are looked at for all places of a piece at once."""
+    for low in range(0, owned, 1 << 20):
+        f.seek(low)
+        data = np.frombuffer(f.read(min(1 << 20, owned - low) + 35), np.uint8)
+        if len(data) < 36:
+            return None
+        number = lambda k, n=len(data) - 35: sum(data[k + j : k + j + n].astype(np.uint32) << np.uint32(8 * j) for j in range(4)).view(np.int32)  # noqa: B023, E731
+        size, reference, mate = number(0), number(4), number(24)
+        likely = (size >= 33) & (reference >= -1) & (reference < max(references, 0)) & (mate >= -1) & (mate < max(references, 0))
+        for k in np.flatnonzero(likely):
+            at, seen = low + int(k), 0
+            while seen < _IN_A_ROW and (after := _bam_next(f, at, references)) is not None:
+                at, seen = after, seen + 1
+            f.seek(at)
+            if seen == _IN_A_ROW or seen and not f.read(1):
+                return low + int(k)
+    return None
 
 
 class _Range(InputPartition):
-    def __init__(self, idx: int, path: str, label: str, kind: str, start: int, end: int | None, zipped: bool):
+    """A byte range of a file. blocks: of a BGZF file; for BAM, origin is the byte of the block of the first record, skip that
+    record's place in the block's text, and references their number."""
+
+    def __init__(self, idx: int, path: str, label: str, kind: str, start: int, end: int | None, zipped: bool, blocks: bool = False, origin: int = 0, skip: int = 0, references: int = 0):
         self.idx, self.path, self.label, self.kind, self.start, self.end, self.zipped = idx, path, label, kind, start, end, zipped
+        self.blocks, self.origin, self.skip, self.references = blocks, origin, skip, references
 
 
-def records(r: _Range) -> Iterator[tuple]:
-    """(ord, id, desc, seq, qual) of the records that start in the range."""
-    with open_bytes(r.path) as raw:
-        f = gzip.GzipFile(fileobj=raw) if r.zipped and r.kind != BAM else raw
-        f = io.BufferedReader(f, 1 << 20) if r.kind != BAM and isinstance(f, gzip.GzipFile) else f
-        if r.kind == BAM:
-            yield from _bam(raw)
-        else:
-            yield from _fasta(f, r.start, r.end)
+def _first_record(path: str) -> tuple[int, int, int]:
+    """Of a BAM file in BGZF: the byte of the block in which the first record begins, the place in it, the references."""
+    with open_bytes(path) as raw:
+        text = _Blocks(raw, 0, 1)
+        at, references = _bam_header(io.BufferedReader(text, _BLOCK_BYTES).read)
+        text.seek(at)
+        text.readinto(bytearray(1))
+        k = bisect_right(text.texts, at) - 1
+        return text.places[k], at - text.texts[k], references
 
 
 def columns(r: _Range) -> Iterator[tuple]:
     """Lists (ord, id, desc, seq, qual) of the records that start in the range, in batches."""
-    if r.kind == FASTQ:
-        with open_bytes(r.path) as raw:
+    with open_bytes(r.path) as raw:
+        if not r.blocks:
+            if r.kind == BAM:
+                read = _Bgzf(raw).take
+                yield from _batches(_bam(read, 0, None) if _bam_header(read) else ())
+                return
             f = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if r.zipped else raw
-            yield from _fastq_columns(f, r.start, r.end)
-        return
+            yield from _text_columns(r.kind, f, r.start, r.end)
+            return
+        text = _Blocks(raw, r.start, r.end)
+        if text.first is None:
+            return
+        f, base = io.BufferedReader(text, 1 << 20), _DEFLATE * (text.first - r.origin)
+        if r.kind == BAM:
+            at = r.skip if r.start == r.origin else _bam_start(f, text.owned, r.references)
+            if at is None:
+                return
+            f.seek(at)
+            found = _batches(_bam(f.read, at, text.owned))
+        else:
+            # a line that begins with the text of a later range is the range's before: what precedes it is not known here
+            found = _text_columns(r.kind, f, 1 if r.start else 0, None if text.owned is None else text.owned + 1)
+        for ords, *others in found:
+            yield [base + x for x in ords], *others
+
+
+def _text_columns(kind: str, f, start: int, end: int | None) -> Iterator[tuple]:
+    yield from _fastq_columns(f, start, end) if kind == FASTQ else _batches(_fasta(f, start, end))
+
+
+def _batches(rows) -> Iterator[tuple]:
     held, size = [], 0
-    for row in records(r):
+    for row in rows:
         held.append(row)
         size += 100 + 2 * len(row[3])
         if size > BATCH_BYTES:
@@ -286,12 +460,16 @@ class ReadsReader(DataSourceReader):
                     raise UnsupportedCompression(f"{path}: {name} is not supported")
             if kind == BAM and not zipped:
                 raise MalformedRecord(f"{path}: only BAM is read, no SAM or CRAM")
-            cuts = [0] if zipped or self.limit else list(range(0, max(size, 1), self.split))
-            for a, z in zip(cuts, [*cuts[1:], None], strict=True):
-                out.append(_Range(x["idx"], path, x["label"], kind, a, z, zipped))
+            blocks = _block_size(head) > 0
+            origin, *more = _first_record(path) if blocks and kind == BAM else (0,)
+            cuts = [origin] if zipped and not blocks or self.limit else list(range(origin, max(size, origin + 1), self.split))
+            for a, z in zip(cuts, [*cuts[1:], max(size, origin + 1) if blocks and not self.limit else None], strict=True):
+                out.append(_Range(x["idx"], path, x["label"], kind, a, z, zipped, blocks, origin, *more))
         return out
 
-    def read(self, r: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, r: _Range | None) -> Iterator[pa.RecordBatch]:
+        if r is None:  # what Spark asks for where there are no files
+            return
         left = self.limit or sys.maxsize
         for ords, ids, descs, seqs, quals in columns(r):
             n = min(len(ords), left)

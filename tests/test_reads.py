@@ -82,6 +82,59 @@ def test_fasta_and_bam(spark, files):
     assert rows(read_reads(spark, odd)) == [("", None, "ACG", None), ("x", None, "", None)]
 
 
+@pytest.mark.parametrize("text", [60, 700, 0xFF00])
+def test_splits_of_blocks(files, text):
+    """Every range of a BGZF file owns what it should, wherever blocks and records are cut."""
+    import random
+
+    from readweft.sources import blocks, reader
+
+    rng = random.Random(text)
+    reads = [(f"r{k}", "".join(rng.choices("ACGT", k=rng.choice([1, 2, 5, 80, 900]))), rng.choice([None, "@", "!", "~"])) for k in range(300)]
+    reads[150] = ("long", "ACGT" * 8000, "I")
+    reads[7] = ("ff", "A" * 5000, None)
+    sequences = [(n, s) for n, s, _ in reads]
+    whole = {
+        "b.bam": blocks.BAM_HEADER + b"".join(blocks.bam_record(n, s, q and q * len(s)) for n, s, q in reads),
+        "b.fq.gz": "".join(f"@{n}\n{s}\n+\n{(q or '+') * len(s)}\n" for n, s, q in reads).encode(),
+        "b.fa.gz": "".join(f">{n}\n{s[:40]}\n{s[40:]}\n" for n, s, _ in reads).encode(),
+    }
+    for name, data in whole.items():
+        path = write(files["top"], name[:2] + "raw", b"".join(blocks.block(data[k : k + text]) for k in range(0, len(data), text)) + blocks.block(b""))
+        kind = {"b.bam": "BAM", "b.fq.gz": "FASTQ", "b.fa.gz": "FASTA"}[name]
+        for split in (3000, 20000, 1 << 30):
+            found = []
+            r = reader.ReadsReader({"inputs": json.dumps([{"idx": 0, "path": path, "label": "x", "format": kind}]), "splitbytes": str(split)})
+            ranges = r.partitions()
+            for part in ranges:
+                for batch in r.read(part):
+                    found += batch.to_pylist()
+            assert [(x["id"], x["seq"]) for x in found] == sequences, (name, split)
+            assert all(a["ord"] < b["ord"] for a, b in zip(found, found[1:], strict=False))
+            assert kind != "BAM" or [x["qual"] for x in found] == [q and q * len(s) for _, s, q in reads]
+            assert len(ranges) > 3 or split > 3000
+        few = reader.ReadsReader({"inputs": json.dumps([{"idx": 0, "path": path, "label": "x", "format": kind}]), "limit": "5"})
+        (part,) = few.partitions()
+        assert [x["id"] for batch in few.read(part) for x in batch.to_pylist()] == [n for n, _ in sequences[:5]]
+
+
+def test_blocks_written(spark, files, tmp_path):
+    from readweft.sources import write_blocks
+
+    fq = read_reads(spark, files["fq"])
+    for kind in ("BAM", "FASTQ", "FASTA"):
+        paths = write_blocks(fq, str(tmp_path / kind), kind)
+        got = rows(read_reads(spark, paths))
+        assert [(a, c) for a, _, c, _ in got] == [(a, c) for a, _, c, _ in EXPECTED] and (kind == "FASTA" or got == EXPECTED)
+        assert spark.read.format("binaryFile").load(paths).count() == len(paths)
+    odd = spark.createDataFrame([("x", "acgu-", None), (None, "", None), ("\u00e9", "ACG", "!I~")], "id string, seq string, qual string").coalesce(1)
+    assert rows(read_reads(spark, write_blocks(odd, str(tmp_path / "odd"), "BAM"))) == [("x", None, "ACGNN", None), ("", None, "", None), ("\u00e9", None, "ACG", "!I~")]
+    none = write_blocks(fq.where("false").coalesce(1), str(tmp_path / "none"), "BAM")
+    assert rows(read_reads(spark, none)) == []
+    with pytest.raises(BadArgument):
+        write_blocks(fq, str(tmp_path / "x"), "SAM")
+
+
 def test_malformed(spark, files):
     for name, text in (("a.fq", "@r\nACGT\n+\nII\n"), ("b.fq", "r\nA\n+\nI\n"), ("c.fq", "@r\nACGT\n"), ("d.bam", "BAM"), ("e.sam", "@HD\tVN:1\n")):
         with pytest.raises(Exception):
@@ -281,6 +334,12 @@ def test_cli(spark, files, capsys, tmp_path):
     assert said("convert", files["bam"], "--to", "fastq").out.startswith("@read1\nACGTACGT\n+\nIIIIIIII\n")
     patterns = write(tmp_path, "p.txt", "# two\n GCGCG \n")
     assert said("grep", "-f", patterns, files["fq"]).out.startswith("@read5\n")
+    assert said("head", "--bases", "0.04K", files["fq"]).out.startswith("@read1\n")
+    for shell in ("bash", "zsh", "fish"):
+        script = said("completions", shell).out
+        assert "readweft" in script and "grep" in script and "both-strands" in script
+    shown = said()
+    assert shown.out == "" and "Version:" in shown.err and "Build date:" in shown.err
     for verb in ("qc", "logs"):
         with pytest.raises(NotImplementedError):
             run(spark, [verb])
@@ -289,6 +348,23 @@ def test_cli(spark, files, capsys, tmp_path):
             run(spark, bad)
 
 
+def test_prompt(capsys, tmp_path):
+    """A line of the prompt is split as a shell does; errors end no session."""
+    from readweft.cli import parser
+    from readweft.shell import candidates, one_line
+
+    ran = []
+    assert one_line(parser(), " count 'a b.fq' --tsv ", ran.append) and ran == [["count", "a b.fq", "--tsv"]]
+    assert one_line(parser(), "", ran.append) and one_line(parser(), "help", ran.append) and "grep " in capsys.readouterr().out
+    assert one_line(parser(), "nothing", ran.append) and one_line(parser(), "count --json --tsv x", ran.append) and len(ran) == 1
+    assert one_line(parser(), "count 'x", ran.append) and "error: " in capsys.readouterr().err
+    assert one_line(parser(), "stats x", lambda argv: 1 / 0) and "error: division" in capsys.readouterr().err
+    assert not one_line(parser(), "exit", ran.append) and not one_line(parser(), " quit", ran.append)
+    write(tmp_path, "some.fq", "")
+    assert candidates(parser(), "he", "he") == ["head "] and candidates(parser(), "head --b", "--b") == ["--bases "]
+    assert candidates(parser(), f"head {tmp_path}/so", f"{tmp_path}/so") == [f"{tmp_path}/some.fq "] and candidates(parser(), "what --x", "--x") == []
+
+
 def test_stream(spark, files, tmp_path):
     from readweft.streaming import appended_reads, streamed
 
