@@ -328,12 +328,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = compared(buckets, part, sig, folder, False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = written(left.join(tested, ["a", "b"], "left_anti"), folder, "left")
     part = united(part, confirmed(left, texts), folder)
+    # classes are placed first, so that the rows, of which very many may be copies of one text, are shuffled once
+    placed = classes.join(part, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return (
         banded.select("doc_id", "n", "digest")
-        .join(classes, "digest")
-        .join(part, F.col("rep") == F.col("node"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .join(placed, "digest")
+        .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
 
 
