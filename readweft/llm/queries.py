@@ -16,4 +16,10 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup.op9_line_dedup,
     "op10_pii": op10_pii.op10_pii,
 }
-SQL = {"op1_mixing": op1_mixing.SQL, "op2_url_filter": op2_urls.SQL, "op7_minhash_near_dedup": op7_near_dedup.SQL, "op9_line_dedup": op9_line_dedup.SQL}
+SQL = {
+    "op1_mixing": op1_mixing.SQL,
+    "op2_url_filter": op2_urls.SQL,
+    "op3_nearest_neighbours": op3_neighbours.SQL,
+    "op7_minhash_near_dedup": op7_near_dedup.SQL,
+    "op9_line_dedup": op9_line_dedup.SQL,
+}
