@@ -69,9 +69,17 @@ def err_sum_native(qual: Column | str, top: int = 93) -> Column:
 
 
 def mean_quality(qual: Column | str) -> Column:
-    """Phred of the mean error probability; 0 for empty quality, null without."""
-    total = err_sum(qual)
-    return F.when(F.length(qual) == 0, F.lit(0.0)).otherwise(phred_of(total / F.length(qual)))
+    """Phred of the mean error probability; 0 for empty quality, null without. qual is looked at once, so that a column that
+    is costly to make is made once."""
+
+    @F.arrow_udf("double")
+    def mean_err(q: pa.Array) -> pa.Array:
+        offsets, raw = flat_bytes(q)
+        n = np.diff(offsets)
+        return pa.array(np.where(n > 0, summed(offsets, _ERR[raw]) / np.maximum(n, 1), -1.0), pa.float64(), mask=np.asarray(q.is_null()))
+
+    p = mean_err(qual)
+    return F.when(p < 0, F.lit(0.0)).otherwise(phred_of(p))
 
 
 def phred_of(p: Column) -> Column:

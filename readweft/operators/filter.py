@@ -30,6 +30,11 @@ def trim_quality(df: DataFrame, cutoff: float) -> DataFrame:
     return _cut(found, start, stop - start).drop("_cut")
 
 
+def _quality_from(least: float) -> Column:
+    """Reads without quality, and those of at least this mean quality."""
+    return F.coalesce(mean_quality("qual") >= float(least), F.lit(True))
+
+
 def predicate(
     min_length: int | None = None, max_length: int | None = None, min_quality: float | None = None, min_gc: float | None = None, max_gc: float | None = None, max_n: float | None = None
 ) -> Column:
@@ -46,7 +51,7 @@ def predicate(
     if max_gc is not None:
         tests.append(gc_content("seq") <= max_gc)
     if min_quality is not None:
-        tests.append(F.col("qual").isNull() | (mean_quality("qual") >= min_quality))
+        tests.append(_quality_from(min_quality))
     return reduce(lambda a, b: a & b, tests)
 
 
@@ -60,4 +65,4 @@ def filter_reads(
     if trim is not None:
         df = trim_quality(df.where(F.length("seq") > 0), trim)
     df = df.where(predicate(min_length, max_length, None, min_gc, max_gc, max_n))
-    return df if min_quality is None else df.where(F.col("qual").isNull() | (mean_quality("qual") >= float(min_quality)))
+    return df if min_quality is None else df.where(_quality_from(min_quality))
