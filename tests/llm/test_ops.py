@@ -537,6 +537,76 @@ def test_every_exact_run_is_covered(spark):
     brute.check_passages(texts, rows)
 
 
+def worn(rng, words, n):
+    words = list(words)
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"x{rng.randrange(10**6)}"
+    return words
+
+
+def test_worn_passages_whose_parts_stand_before(spark):
+    """Each seed that two texts share stands first in a text of its own, so that none of them leads from one to the other."""
+    rng = random.Random(20)
+    own = lambda n: prose(rng, n, 10**6).split(" ")
+    texts, want = [], set()
+    for n in (60, 90, 120, 200) * 3:
+        passage = own(n)
+        texts += [" ".join(own(20) + passage[k : k + 16] + own(20)) for k in range(0, n, 5)]
+        want.add((len(texts) + 1, len(texts)))
+        texts += [" ".join(own(30) + passage + own(30)), " ".join(own(9) + worn(rng, passage, n // 12) + own(50))]
+    assert want <= pairs_with_rows(spark, texts)
+
+
+def all_passages(texts):
+    """(document, ref, start, stop, ref start, ref stop) of the passages of all pairs of documents, from all seeds that both have."""
+    at, word = op8.hashed_words(pa.array(texts))
+    place, got = op8.minimizers(word, at)
+    text = np.searchsorted(at, place, "right") - 1
+    fine = op8._kinds(text, place, got) != op8.AGAIN
+    place, got, text, low = (place - at[text])[fine], got[fine], text[fine], (word >> np.uint64(33)).astype(np.int32)
+    seeds = [list(zip(got[text == k].tolist(), place[text == k].tolist(), strict=True)) for k in range(len(texts))]
+    out = []
+    for d in range(len(texts)):
+        for r in range(d):
+            there = {}
+            for h, y in seeds[r]:
+                there.setdefault(h, []).append(y)
+            ties = sorted((x, y) for h, x in seeds[d] for y in there.get(h, ()))
+            x, y = (np.array([t[k] for t in ties], int) for k in (0, 1))
+            for chain in op8.chains(x, y) if len(ties) >= op8.MIN_SEEDS else ():
+                p, q = x[chain], y[chain]
+                cut = low[at[d] : at[d + 1]][max(0, p[0] - op8.REACH) : p[-1] + op8.KMER + op8.REACH]
+                out += [(d, r, s, e, rs, re_) for s, e, rs, re_, _ in op8.aligned(int(p[0]), int(q[0]), p.tolist(), q.tolist(), cut, low[at[r] : at[r + 1]])]
+    return out
+
+
+def test_every_worn_passage_is_linked(spark, monkeypatch):
+    """Against the chains of all pairs of texts: worn lines of a few pools, pieces of them, and lines that many texts have."""
+    monkeypatch.setattr(op8, "BLOCK", 16)
+    rng = random.Random(21)
+    own = lambda n: prose(rng, n, 10**6).split()
+    pool, lines = [own(rng.choice([40, 60, 90, 150])) for _ in range(8)], [own(n) for n in (7, 13, 20, 30)]
+    texts = []
+    for _ in range(160):
+        parts = own(rng.choice([0, 10, 40]))
+        for _ in range(rng.randrange(1, 4)):
+            piece = rng.choice(pool)
+            if rng.random() < 0.6:
+                cut = rng.randrange(len(piece))
+                piece = piece[cut : cut + rng.choice([16, 30, 60])]
+            parts += worn(rng, piece, int(len(piece) * rng.choice([0, 0.05, 0.1, 0.15]))) + own(rng.choice([0, 3, 30]))
+            parts += rng.choice(lines) + own(rng.choice([0, 5, 40]))
+        texts.append(" ".join(parts))
+    rows = op8.repeated_passages(docs_of(spark, texts)).collect()
+    meets = lambda a, b, c, d: a < d and c < b
+    refs = lambda d, s, e: [(d, s, e)] + [(r.ref_doc_id, r.ref_start_word, r.ref_end_word) for r in rows if r.doc_id == d and meets(r.start_word, r.end_word, s, e)]
+    wanted = all_passages(texts)
+    assert len(wanted) > 300
+    for d, r, s, e, rs, re_ in wanted:
+        there = refs(r, rs, re_)
+        assert any(a[0] == b[0] and meets(*a[1:], *b[1:]) for a in refs(d, s, e) for b in there), (d, r, s, e, rs, re_)
+
+
 def test_passages_of_repeated_ids(spark):
     """Of rows that repeat an id the least text counts; rows that repeat as a whole count once."""
     rng = random.Random(19)
